@@ -73,6 +73,20 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
         at = to
 
 
+def with_text(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
+    """The columns `keep`, and the text as a string under the name returned: its own, or a new one that clashes with none."""
+    if "text" in keep and dict(docs.dtypes)["text"] == "string":
+        return docs.select(*keep), "text"
+    name = unused("text", keep)
+    return docs.select(*keep, F.col("text").cast("string").alias(name)), name
+
+
+def unused(name: str, among: list[str]) -> str:
+    while name.lower() in {c.lower() for c in among}:
+        name = f"_{name}"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over unsigned integers, wrapping."""
     x = x.astype(np.uint64, copy=True)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, string_array, views
+from .common import pieces, string_array, with_text
 
 _letters: list[np.ndarray] = []
 
@@ -200,16 +200,17 @@ def fit(train: DataFrame, buckets: int = 1 << 15, per_language: int = 500, **opt
     return Model(languages, idf, w.astype(np.float32), b, temperature(z, y[held]))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, lang_pred and score, from the text alone."""
+def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs, the language and its score under `names`, from the text alone."""
     told = docs.sparkSession.sparkContext.broadcast(model)  # its size is that of the model: buckets x languages
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
+    rows, text = with_text(docs, keep)
 
     def run(batches):
         model = told.value
         for batch in batches:
-            for part in pieces(batch, "_text", 2 << 20):
-                texts = string_array(part.column("_text"))
+            for part in pieces(batch, text, 2 << 20):
+                texts = string_array(part.column(text))
                 if model.languages:
                     p, has = model.scores(texts)
                     best = p.argmax(axis=1)
@@ -217,6 +218,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     score = np.where(has, p[np.arange(len(best)), best], 0.0)
                 else:
                     lang, score = ["und"] * len(texts), np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score)], [*keep, *names])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

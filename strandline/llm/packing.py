@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary
-from .common import pieces, string_array
+from .common import pieces, string_array, with_text
 
 SCHEMA = "doc_id long, piece int, start long, length int, bin_id string, position int, bin_fill int"
 
@@ -71,14 +71,16 @@ def token_counts(docs: DataFrame, keep: list[str], path: str | None = None) -> D
     """The columns `keep`, and n_tokens: ids of the whole text and one end id."""
     path = path or vocabulary()
 
+    rows, text = with_text(docs, keep)
+
     def run(batches):
         words = encoder(path)
         for batch in batches:
-            for part in pieces(batch, "_text"):
-                n = words.encode(string_array(part.column("_text")))[1] + 1
+            for part in pieces(batch, text):
+                n = words.encode(string_array(part.column(text)))[1] + 1
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(n)], [*keep, "n_tokens"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, docs.select(*keep).schema.add("n_tokens", "long"))
+    return rows.mapInArrow(run, docs.select(*keep).schema.add("n_tokens", "long"))
 
 
 def pack(sized: DataFrame, capacity: int = 8192, shard: int = 4000, per_source: int = 2, rows: int | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, string_array, views
+from .common import pieces, string_array, views, with_text
 from .shingles import word_hashes
 
 CLASSES = 8  # space, lower, upper, digit, sentence mark, bracket or quote, other symbol, non-ASCII
@@ -239,16 +239,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_documents: int = 4000) -> Model
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], bound: float = 0.3) -> DataFrame:
-    """The columns `keep` of docs, score and predicted, from the text alone."""
+def score(docs: DataFrame, model: Model, keep: list[str], bound: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns `keep` of docs, the score and whether it is `bound` or more under `names`, from the text alone."""
     told = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
+    schema = docs.select(*keep).schema.add(names[0], "double").add(names[1], "integer")
+    rows, text = with_text(docs, keep)
 
     def run(batches):
         model = told.value
         for batch in batches:
-            for part in pieces(batch, "_text", 2 << 20):
-                s = model.scores(string_array(part.column("_text")))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(s), pa.array((s >= bound).astype(np.int32))], [*keep, "score", "predicted"])
+            for part in pieces(batch, text, 2 << 20):
+                s = model.scores(string_array(part.column(text)))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(s), pa.array((s >= bound).astype(np.int32))], [*keep, *names])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
