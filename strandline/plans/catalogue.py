@@ -1,4 +1,8 @@
 """The queries of the library and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from . import relational
+
+QUERIES: dict = {**relational.QUERIES}
+ORACLE: dict[str, str] = {**relational.ORACLE}
