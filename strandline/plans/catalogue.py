@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import pairing, relational
 
-QUERIES: dict = {**relational.QUERIES}
-ORACLE: dict[str, str] = {**relational.ORACLE}
+QUERIES: dict = {**relational.QUERIES, **pairing.QUERIES}
+ORACLE: dict[str, str] = {**relational.ORACLE, **pairing.ORACLE}
