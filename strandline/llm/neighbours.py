@@ -175,7 +175,7 @@ def reverse_sampled(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select(F.col("id").alias("node"), F.col("node").alias("id"), "score")
 
 
-def descended(nodes: DataFrame, graph: DataFrame, degree: int, best: int = 8) -> DataFrame:
+def descended(nodes: DataFrame, graph: DataFrame, degree: int, best: int = 12) -> DataFrame:
     """One round: neighbours of neighbours are compared, and the lists improved."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs_of(graph)
@@ -213,7 +213,7 @@ def descended(nodes: DataFrame, graph: DataFrame, degree: int, best: int = 8) ->
     return merged(graph.union(found), degree)
 
 
-def build(nodes: DataFrame, degree: int = 20, trees: int = 4, block: int = 256, rounds: int = 3, seed: int = 17) -> DataFrame:
+def build(nodes: DataFrame, degree: int = 32, trees: int = 4, block: int = 256, rounds: int = 5, seed: int = 17) -> DataFrame:
     """The graph's lists, written."""
     graph = written(started(nodes, degree, trees, block, seed), "graph")
     for _ in range(rounds):
@@ -245,7 +245,7 @@ def adjacency(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
 STATE = "query long, v16 binary, ids binary, scores binary, done binary, open array<long>"
 
 
-def searched(links: DataFrame, queries: DataFrame, entries: list[tuple[int, bytes]], beam: int = 160, expand: int = 24, ahead: int = 128, most_rounds: int = 16) -> DataFrame:
+def searched(links: DataFrame, queries: DataFrame, entries: list[tuple[int, bytes]], beam: int = 256, expand: int = 32, ahead: int = 224, most_rounds: int = 16) -> DataFrame:
     """queries (query, v16, own): own is its node in the graph, or null. -> (query, ids): the beam, best first."""
     spark = queries.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -315,7 +315,7 @@ def searched(links: DataFrame, queries: DataFrame, entries: list[tuple[int, byte
     return state.select("query", "ids")
 
 
-def nearest(vectors: DataFrame, query_ids, k: int = 20, id_column: str = "vec_id", column: str = "embedding", degree: int = 32, rounds: int = 3, **search) -> DataFrame:
+def nearest(vectors: DataFrame, query_ids, k: int = 20, id_column: str = "vec_id", column: str = "embedding", degree: int = 32, rounds: int = 5, **search) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows found of each row for which query_ids(column) holds."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"

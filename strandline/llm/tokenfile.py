@@ -10,8 +10,8 @@ Model. Two tables predict the next id: one by the last id, one by the last two (
 last and how often it was right). The first guess is that of order 2, or of order 1 where order 2 has none. Its
 probability is mixed in the logistic domain from adaptive probabilities of order 2 and order 1 by their confidence and of
 order 0 by the id's frequency; the weights learn from each coded id. The second guess, where order 1 differs, has an
-adaptive probability. An id that is neither is coded by its order-0 frequency in the block so far, whose cumulative table
-is made anew after 32, 64, 128, ... ids. All arithmetic is in integers, so any machine decodes alike.
+adaptive probability. An id that is neither is coded by its order-0 frequency in the block so far, first its group of 256 ids, then
+the id, in one step of the coder. All arithmetic is in integers, so any machine decodes alike.
 
 Coding runs over all blocks of a segment in step: one id of each block at a time, in numpy.
 """
@@ -30,12 +30,13 @@ from .bpe import encoder, vocabulary
 from .common import new_path, pieces, string_array
 
 MAGIC, END = b"SLT1", 2
-BLOCK = 8192
-LANES = 448  # blocks of a segment
-O1, O2 = 13, 14  # bits of the tables' sizes
-STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int64)
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4095).astype(np.int64)
-BITS = np.array([int(i).bit_length() for i in range(1 << 14)], np.int64)
+BLOCK = 4096
+LANES = 1536  # blocks of a segment
+O1, O2 = 12, 13  # bits of the tables' sizes
+# Two tables that a file is read with; they are made alike wherever IEEE arithmetic holds, far from ties of rounding.
+STRETCH = np.round(np.log((np.arange(4097) + 0.5) / np.maximum(4095.5 - np.arange(4097), 0.5)) * 256).astype(np.int32)
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4095).astype(np.int32)
+BITS = np.array([int(i).bit_length() for i in range(4096)], np.int64)
 
 
 class Coder:
@@ -94,98 +95,102 @@ class Coder:
 
 
 class Mixer:
-    """The model of all lanes, and one step of coding or decoding."""
+    """The model of all lanes, and one step of coding or decoding.
+
+    A table entry is the id that followed last and, in its low four bits, how often it was right."""
 
     def __init__(self, lanes: int, size: int):
-        self.size = size
-        self.p1, self.c1 = np.zeros(lanes << O1, np.uint16), np.zeros(lanes << O1, np.uint8)
-        self.p2, self.c2 = np.zeros(lanes << O2, np.uint16), np.zeros(lanes << O2, np.uint8)
-        self.count = np.ones((lanes, size), np.uint16)
-        self.cum = np.broadcast_to(np.arange(size + 1, dtype=np.uint32), (lanes, size + 1)).copy()
-        self.hit2, self.hit1, self.hit0, self.second = (np.full((lanes, 16), 2048, np.int64) for _ in range(4))
-        self.weights = np.full((lanes, 16, 3), 1 << 15, np.int64)
-        self.prev, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def recount(self, lanes: int) -> None:
-        np.cumsum(self.count[:lanes], axis=1, dtype=np.uint32, out=self.cum[:lanes, 1:])
+        self.groups = -(-size // 256)
+        self.t1, self.t2 = np.zeros(lanes << O1, np.int32), np.zeros(lanes << O2, np.int32)
+        self.count = np.zeros((lanes, self.groups * 256), np.uint16)
+        self.count[:, :size] = 1
+        self.group = np.add.reduceat(self.count[:1], np.arange(0, self.groups * 256, 256), axis=1, dtype=np.int32).repeat(lanes, axis=0)
+        self.hit2, self.hit1, self.hit0, self.second = (np.full(lanes * 16, 2048, np.int32) for _ in range(4))
+        self.w2, self.w1, self.w0 = (np.full(lanes * 16, 1 << 15, np.int32) for _ in range(3))
+        self.prev, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.base1, self.base2, self.base = np.arange(lanes) << O1, np.arange(lanes) << O2, np.arange(lanes, dtype=np.int64) << 4
+        self.row = np.arange(lanes) * (self.groups * 256)
+
+    def rare(self, coder: Coder, who: np.ndarray, ids: np.ndarray | None, decoding: bool) -> np.ndarray:
+        """Codes ids by their frequency: first by the sums of groups of 256 ids, then by the counts of the group."""
+        sums = np.cumsum(self.group[who], axis=1, dtype=np.int32)
+        total = sums[:, -1].astype(np.uint64)
+        part = coder.range[who] // total
+        lane = np.arange(len(who))
+        if decoding:
+            at = np.minimum((coder.code[who] - coder.low[who]) // part, total - np.uint64(1)).astype(np.int32)
+            g = (sums <= at[:, None]).sum(axis=1)
+        else:
+            g = ids >> 8
+        before = np.where(g > 0, sums[lane, np.maximum(g - 1, 0)], 0)
+        inner = np.cumsum(self.count.reshape(-1, 256)[who * self.groups + g], axis=1, dtype=np.int32)
+        low = (inner <= (at - before)[:, None]).sum(axis=1) if decoding else ids & 255
+        first = np.where(low > 0, inner[lane, np.maximum(low - 1, 0)], 0)
+        coder.narrow(who, before + first, inner[lane, low] - first, part, decoding)
+        return (g << 8) + low
 
     def step(self, coder: Coder, n: int, ids: np.ndarray | None) -> np.ndarray:
         """Code ids of the first n lanes, or decode and return them."""
-        lane = np.arange(n)
-        i1 = (lane << O1) + (((self.prev[:n] * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - O1))
-        i2 = (lane << O2) + ((((self.prev[:n] * 0x2C1B3C6D) ^ (self.prev2[:n] * 0x297A2D39)) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - O2))
-        g1, k1, g2, k2 = self.p1[i1].astype(np.int64), self.c1[i1].astype(np.int64), self.p2[i2].astype(np.int64), self.c2[i2].astype(np.int64)
-        first = np.where(k2 > 0, g2, g1)
-        agree = first == g1
-        frequent = np.minimum(BITS[np.minimum(self.count[lane, first], (1 << 14) - 1)], 15)
-        s2, s1, s0 = STRETCH[self.hit2[lane, k2]], STRETCH[self.hit1[lane, k1]], STRETCH[self.hit0[lane, frequent]]
-        s1 = np.where(agree, s1, -np.abs(s1))
-        w = self.weights[lane, k2]
-        mixed = np.clip((w[:, 0] * s2 + w[:, 1] * s1 + w[:, 2] * s0) >> 16, -2047, 2047)
-        p = SQUASH[mixed + 2047]
-        q = np.where(agree, 0, self.second[lane, k1])
+        decoding, base, prev = ids is None, self.base[:n], self.prev[:n]
+        i1 = self.base1[:n] + ((prev * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - O1))
+        i2 = self.base2[:n] + (self.mixed[:n] >> (32 - O2))
+        e1, e2 = self.t1[i1], self.t2[i2]
+        k1, k2, g1 = e1 & 15, e2 & 15, e1 >> 4
+        first = np.where(k2 > 0, e2 >> 4, g1)
+        differ = first != g1
+        b2, b1 = base + k2, base + k1
+        at0 = self.row[:n] + first
+        b0 = base + BITS[np.minimum(self.count.reshape(-1)[at0], 4095)]
+        h2, h1, h0 = self.hit2[b2], self.hit1[b1], self.hit0[b0]
+        s2, s1, s0 = STRETCH[h2], STRETCH[h1], STRETCH[h0]
+        np.negative(np.abs(s1), out=s1, where=differ)
+        w2, w1, w0 = self.w2[b2], self.w1[b2], self.w0[b2]
+        mixed = (w2 * s2 + w1 * s1 + w0 * s0) >> 16
+        p = SQUASH[np.minimum(np.maximum(mixed, -2047), 2047) + 2047]
+        q = self.second[b1] * differ
         fa = p << 12
         fb = (4096 - p) * q
+        fab = fa + fb
         part = coder.range[:n] >> np.uint64(24)
-        if ids is None:
-            at = np.minimum((coder.code[:n] - coder.low[:n]) // part, np.uint64((1 << 24) - 1)).astype(np.int64)
-            kind = np.where(at < fa, 0, np.where(at < fa + fb, 1, 2))
-            ids = np.where(kind == 0, first, g1)
+        if decoding:
+            at = np.minimum((coder.code[:n] - coder.low[:n]) // part, np.uint64((1 << 24) - 1)).astype(np.int32)
+            hit, rest = at < fa, at >= fab
         else:
-            kind = np.where(ids == first, 0, np.where((ids == g1) & ~agree, 1, 2))
-        below = np.where(kind == 0, 0, np.where(kind == 1, fa, fa + fb))
-        size = np.where(kind == 0, fa, np.where(kind == 1, fb, (1 << 24) - fa - fb))
-        decoding = hasattr(coder, "code")
-        coder.narrow(lane, below, size, part, decoding)
-        rare = np.flatnonzero(kind == 2)
-        if len(rare):
-            total = self.cum[rare, self.size].astype(np.uint64)
-            part = coder.range[rare] // total
+            hit = ids == first
+            rest = ~hit & ((ids != g1) | ~differ)
+        below, size = np.where(hit, 0, np.where(rest, fab, fa)), np.where(hit, fa, np.where(rest, (1 << 24) - fab, fb))
+        coder.narrow(np.arange(n), below, size, part, decoding)
+        who = np.flatnonzero(rest)
+        if decoding:
+            ids = np.where(hit, first, g1).astype(np.int64)
+        if len(who):
+            found = self.rare(coder, who, None if decoding else ids[who], decoding)
             if decoding:
-                at = np.minimum((coder.code[rare] - coder.low[rare]) // part, total - np.uint64(1)).astype(np.int64)
-                lo, hi = np.zeros(len(rare), np.int64), np.full(len(rare), self.size)
-                while True:  # the last entry at or below
-                    mid = (lo + hi) >> 1
-                    up = self.cum[rare, mid] <= at
-                    lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
-                    if (hi - lo <= 1).all():
-                        break
-                ids[rare] = lo
-            x = ids[rare]
-            below, above = self.cum[rare, x].astype(np.int64), self.cum[rare, x + 1].astype(np.int64)
-            coder.narrow(rare, below, above - below, part, decoding)
+                ids[who] = found
         # learn
-        hit = (ids == first).astype(np.int64)
-        error = (hit << 12) - p
-        for column, s in enumerate((s2, s1, s0)):
-            self.weights[lane, k2, column] = np.clip(w[:, column] + ((s * error) >> 9), -(1 << 19), 1 << 19)
-        for table, k in ((self.hit2, k2), (self.hit0, frequent)):
-            h = table[lane, k]
-            table[lane, k] = np.clip(h + (((hit << 12) - h) >> 5), 16, 4079)
-        right = (ids == g1).astype(np.int64)
-        h = self.hit1[lane, k1]
-        self.hit1[lane, k1] = np.clip(h + (((right << 12) - h) >> 5), 16, 4079)
-        tried = np.flatnonzero((kind > 0) & ~agree)
+        target = hit.astype(np.int32) << 12
+        error = target - p
+        for w, old, s in ((self.w2, w2, s2), (self.w1, w1, s1), (self.w0, w0, s0)):
+            w[b2] = np.minimum(np.maximum(old + (s * error >> 9), -(1 << 18)), 1 << 18)
+        self.hit2[b2] = h2 + ((target - h2) >> 5)
+        self.hit0[b0] = h0 + ((target - h0) >> 5)
+        same1 = ids == g1
+        self.hit1[b1] = h1 + (((same1.astype(np.int32) << 12) - h1) >> 5)
+        tried = np.flatnonzero(differ & ~hit)
         if len(tried):
-            k = k1[tried]
-            h = self.second[tried, k]
-            self.second[tried, k] = np.clip(h + (((right[tried] << 12) - h) >> 5), 16, 4079)
-        for guess, conf, p_table, c_table, i in ((g1, k1, self.p1, self.c1, i1), (g2, k2, self.p2, self.c2, i2)):
-            same = guess == ids
-            new = np.where(same & (conf > 0), np.minimum(conf + 1, 15), np.where(conf > 1, conf >> 1, 1))
-            replace = ~same & (conf <= 1)
-            p_table[i] = np.where(replace | (conf == 0), ids, guess)
-            c_table[i] = new
-        self.count[lane, ids] += 8
-        self.prev2[:n] = self.prev[:n]
+            at = b1[tried]
+            h = self.second[at]
+            self.second[at] = np.maximum(np.minimum(h + (((same1[tried].astype(np.int32) << 12) - h) >> 5), 4079), 16)
+        fresh = (ids << 4).astype(np.int32) + 1
+        for table, i, e, k, same in ((self.t1, i1, e1, k1, same1 & (k1 > 0)), (self.t2, i2, e2, k2, (e2 >> 4 == ids) & (k2 > 0))):
+            table[i] = np.where(same, e + (k < 15), np.where(k > 1, e - k + (k >> 1), fresh))
+        self.count.reshape(-1)[self.row[:n] + ids] += 8
+        self.group.reshape(-1)[np.arange(n) * self.groups + (ids >> 8)] += 8
+        self.mixed[:n] = (ids * 0x2C1B3C6D ^ prev * 0x297A2D39) * 0x9E3779B1 & 0xFFFFFFFF
         self.prev[:n] = ids
         return ids
 
 
-def schedule(t: int) -> bool:
-    return t >= 32 and t & (t - 1) == 0
-
-
 def compress(blocks: list[np.ndarray], size: int) -> list[bytes]:
     """Payloads of blocks of ids below `size`; none is empty."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
@@ -196,8 +201,6 @@ def compress(blocks: list[np.ndarray], size: int) -> list[bytes]:
     coder, model = Coder(len(order)), Mixer(len(order), size)
     for t in range(n[0]):
         lanes = int(np.searchsorted(-n, -t, side="left"))
-        if schedule(t):
-            model.recount(lanes)
         model.step(coder, lanes, ids[t, :lanes])
     out = [b""] * len(blocks)
     for i, words in zip(order, coder.finish()):
@@ -212,8 +215,6 @@ def expand(payloads: list[bytes], sizes: list[int], size: int) -> list[np.ndarra
     ids = np.zeros((n[0], len(order)), np.uint16)
     for t in range(n[0]):
         lanes = int(np.searchsorted(-n, -t, side="left"))
-        if schedule(t):
-            model.recount(lanes)
         ids[t, :lanes] = model.step(coder, lanes, None)
     out: list = [None] * len(payloads)
     for lane, i in enumerate(order):
