@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters a to z by the low two bits of their code, as bases. A fixed value of the fixtures.
@@ -32,10 +32,17 @@ def count_of(seq: Column, letter: str) -> Column:
     return F.length(seq) - F.length(F.replace(seq, F.lit(letter), F.lit("")))
 
 
-def kmers(seq: Column, k: int) -> Column:
-    """An array of structs (q, kmer): every substring of k bases and its start."""
-    at = F.sequence(F.lit(0), F.length(seq) - k)
-    return F.when(F.length(seq) >= k, F.transform(at, lambda q: F.struct(q.cast("int").alias("q"), F.substring(seq, q + 1, F.lit(k)).alias("kmer"))))
+#: Bases of a piece of a sequence: reaching a base of a string takes time in proportion to its place.
+PIECE = 256
+
+
+def with_kmers(df: DataFrame, keep: list[str], seq: str, k: int) -> DataFrame:
+    """The columns `keep`, and a row (q, kmer) for every substring of k bases without N and its start.
+
+    Sequences are cut into overlapping pieces first, so that long ones take time in proportion to their length."""
+    pieces = df.where(F.length(seq) >= k).select(*keep, F.col(seq).alias("_s"), F.explode(F.sequence(F.lit(0), F.length(seq) - k, F.lit(PIECE))).alias("_at")).select(*keep, "_at", F.expr(f"substring(_s, _at + 1, {PIECE + k - 1})").alias("_p"))
+    rows = pieces.select(*keep, "_at", "_p", F.explode(F.sequence(F.lit(0), F.length("_p") - k)).alias("_i"))
+    return rows.select(*keep, (F.col("_at") + F.col("_i")).alias("q"), F.expr(f"substring(_p, _i + 1, {k})").alias("kmer")).where("instr(kmer, 'N') = 0")
 
 
 def fold(pos: Column, half: Column) -> Column:

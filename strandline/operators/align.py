@@ -104,7 +104,7 @@ class Aligner:
     def matches(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
         """id and its exact matches, as an array of (b, e, pos)."""
         source = reads.select(F.col("id").alias("read_id"), normal(F.col("seq")).alias("seq"))
-        runs = seeds.match_runs(seeds.seed_join(source, index.doubled_kmers(targets, self.o.min_seed), self.o.min_seed), self.o.min_seed)
+        runs = seeds.match_runs(seeds.seed_join(source, index.sized(index.doubled_kmers(targets, self.o.min_seed), targets), self.o.min_seed), self.o.min_seed)
         return runs.groupBy("read_id").agg(F.collect_list(F.struct(F.col("b").cast("int").alias("b"), F.col("e").cast("int").alias("e"), F.col("pos").cast("long").alias("pos"))).alias("runs")).withColumnRenamed("read_id", "id")
 
     def regions(self, reads: DataFrame, targets: DataFrame) -> DataFrame:

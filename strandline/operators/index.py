@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bases import kmers, reverse_complement
+from ..functions.bases import reverse_complement, with_kmers
 
 #: Positions per bin of the contig lookup.
 BIN = 4096
+#: K-mers of the targets up to which their table is broadcast; beyond it reads and targets meet by a shuffle.
+MOST_BROADCAST = 1 << 20
+
+
+def sized(kmers: DataFrame, targets: DataFrame) -> DataFrame:
+    """The k-mer table of the targets, marked for broadcast if it is small enough."""
+    positions = 2 * (targets.agg(F.sum(F.length("seq"))).first()[0] or 0)
+    return F.broadcast(kmers) if positions <= MOST_BROADCAST else kmers
 
 
 def contigs(targets: DataFrame) -> DataFrame:
@@ -47,4 +55,4 @@ def doubled_kmers(targets: DataFrame, k: int) -> DataFrame:
     heads = both.select("off", F.substring("seq", 1, k - 1).alias("head"))
     behind = heads.select("off", F.array_join(F.collect_list("head").over(w.rowsBetween(1, k - 1)), "").substr(1, k - 1).alias("behind"))
     tail = both.join(behind, "off").withColumn("whole", F.concat("seq", "behind"))
-    return tail.select("off", F.explode(kmers(F.col("whole"), k)).alias("m")).where("m.kmer not like '%N%'").select(F.col("m.kmer").alias("kmer"), (F.col("off") + F.col("m.q")).alias("pos"))
+    return with_kmers(tail, ["off"], "whole", k).select("kmer", (F.col("off") + F.col("q")).alias("pos"))

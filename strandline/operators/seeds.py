@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bases import kmers
+from ..functions.bases import with_kmers
 
 
 def seed_join(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """reads (read_id, seq), index (kmer, pos) -> read_id, q, pos. Spark joins by a shuffle on k-mers or broadcasts the
-    index, by its size."""
-    exploded = reads.where(F.length("seq") >= k).select("read_id", F.explode(kmers(F.col("seq"), k)).alias("m")).where("m.kmer not like '%N%'").select("read_id", F.col("m.q").alias("q"), F.col("m.kmer").alias("kmer"))
+    """reads (read_id, seq), index (kmer, pos) -> read_id, q, pos. The index may be marked for broadcast
+    (index.sized); else reads and targets are shuffled on k-mers."""
+    exploded = with_kmers(reads, ["read_id"], "seq", k)
     return exploded.join(index, "kmer").select("read_id", "q", "pos")
 
 

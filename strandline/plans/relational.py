@@ -31,8 +31,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files are fewer than those; tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reads(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), bases.from_text(F.col("text")).alias("seq"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("read_id"), bases.from_text(F.col("text")).alias("seq"))
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +62,13 @@ top as (select * from spans s where not exists (select 1 from spans o where o.re
 first as (select t.read_id, t.b, t.e, count(*) as occ from top t join runs r on r.read_id = t.read_id and r.b <= t.b and r.e >= t.e group by all)"""
 
 
+def seeds_of(spark: SparkSession, d: str) -> DataFrame:
+    t = targets(spark, d)
+    return seeds.seed_join(reads(spark, d), index.sized(index.doubled_kmers(t, K), t), K)
+
+
 def runs_of(spark: SparkSession, d: str) -> DataFrame:
-    return seeds.match_runs(seeds.seed_join(reads(spark, d), index.doubled_kmers(targets(spark, d), K), K), K)
+    return seeds.match_runs(seeds_of(spark, d), K)
 
 
 def long(df: DataFrame) -> DataFrame:
@@ -149,7 +160,7 @@ PARTS = "p as (select p_partkey, translate(lower(regexp_replace(p_name, '[^A-Za-
 
 def part_kmers(spark, d):
     p = table(spark, d, "part").select("p_partkey", bases.from_text(F.col("p_name")).alias("s"))
-    return p.select("p_partkey", F.explode(bases.kmers(F.col("s"), 9)).alias("m")).select("p_partkey", F.col("m.q").cast("long").alias("q"), F.col("m.kmer").alias("kmer"))
+    return bases.with_kmers(p, ["p_partkey"], "s", 9).withColumn("q", F.col("q").cast("long"))
 
 
 @query(f"with {PARTS} select kmer, count(*) as n, count(distinct p_partkey) as parts from pk group by kmer having count(*) > 20")
@@ -166,7 +177,7 @@ def occ_stride_sample(spark, d):
 
 @query(f"with {RUNS} select read_id, q, pos from seeds")
 def seed_join(spark, d):
-    return long(seeds.seed_join(reads(spark, d), index.doubled_kmers(targets(spark, d), K), K))
+    return long(seeds_of(spark, d))
 
 
 @query(f"with {RUNS} select * from runs")
@@ -220,7 +231,7 @@ UNION = """u as (select *, max({e}) over (partition by {k} order by {b}, {e} row
 select {k}, cast(sum(greatest(0, {e} - greatest({b}, coalesce(before, {b})))) as bigint) as {n} from u group by {k}"""
 
 
-@query(f"with {RUNS}, " + "w1 as (select read_id, (pos - b) // 100 as band, b, e, pos, pos + e - b as stop from runs), a as (select *, max(e) over (partition by read_id, band order by b, e rows between unbounded preceding and 1 preceding) as qb, max(stop) over (partition by read_id, band order by pos, stop rows between unbounded preceding and 1 preceding) as tb from w1) select read_id, band, cast(least(sum(greatest(0, e - greatest(b, coalesce(qb, b)))), sum(greatest(0, stop - greatest(pos, coalesce(tb, pos))))) as bigint) as weight from a group by read_id, band")
+@query(f"with {RUNS}, " + "w1 as (select read_id, cast(floor((pos - b) / 100.0) as bigint) as band, b, e, pos, pos + e - b as stop from runs), a as (select *, max(e) over (partition by read_id, band order by b, e rows between unbounded preceding and 1 preceding) as qb, max(stop) over (partition by read_id, band order by pos, stop rows between unbounded preceding and 1 preceding) as tb from w1) select read_id, band, cast(least(sum(greatest(0, e - greatest(b, coalesce(qb, b)))), sum(greatest(0, stop - greatest(pos, coalesce(tb, pos))))) as bigint) as weight from a group by read_id, band")
 def chain_weight(spark, d):
     """Bases that the runs of a band of diagonals cover on the read or on the target, whichever are fewer."""
     r = runs_of(spark, d).withColumn("band", F.floor((F.col("pos") - F.col("b")) / 100)).withColumn("stop", F.col("pos") + F.col("e") - F.col("b"))
