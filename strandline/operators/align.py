@@ -27,16 +27,17 @@ MOST_TARGET = 1 << 29
 BLOCK = 1 << 16
 
 
-def collected(targets: DataFrame) -> Target:
+def collected(targets: DataFrame, o: Options) -> Target:
     """The targets as one array, after a check of their size."""
     size = targets.agg(F.sum(F.length("seq"))).first()[0] or 0
     if size > MOST_TARGET:
         raise ValueError(f"{size} target bases; at most {MOST_TARGET} can be sent to the executors: split the collection and align to each part")
-    alt = F.col("is_alt") if "is_alt" in targets.columns else F.lit(False)
-    rows = targets.select("rid", "name", normal(F.col("seq")).alias("seq"), F.coalesce(alt, F.lit(False)).alias("alt")).orderBy("rid").collect()
+    alt = F.col("is_alt") if "is_alt" in targets.columns and not o.ignore_alt else F.lit(False)
+    anno = F.col("anno") if "anno" in targets.columns else F.lit(None).cast("string")
+    rows = targets.select("rid", "name", normal(F.col("seq")).alias("seq"), F.coalesce(alt, F.lit(False)).alias("alt"), anno.alias("anno")).orderBy("rid").collect()
     lengths = np.array([len(r["seq"]) for r in rows], np.int64)
     forward = np.concatenate([kernels.codes(r["seq"]) for r in rows]) if rows else np.zeros(0, np.uint8)
-    return Target([r["name"] for r in rows], np.cumsum(lengths) - lengths, lengths, np.array([r["alt"] for r in rows], bool), forward)
+    return Target([r["name"] for r in rows], np.cumsum(lengths) - lengths, lengths, np.array([r["alt"] for r in rows], bool), forward, [r["anno"] for r in rows])
 
 
 def with_substitutes(targets: DataFrame) -> DataFrame:
@@ -98,19 +99,21 @@ def from_rows(rows) -> list[Region]:
 class Aligner:
     """align(reads, targets): reads (id, name, seq, and if present comment, qual), targets (rid, name, seq, is_alt)."""
 
-    def __init__(self, options: Options | None = None, **given):
+    def __init__(self, options: Options | None = None, kmers: DataFrame | None = None, **given):
+        """kmers: the k-mer table of the targets, if index.save() wrote it; else it is made."""
         self.o = (options or Options()).scaled(**given) if given else options or Options()
+        self.kmers = kmers
 
     def matches(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
         """id and its exact matches, as an array of (b, e, pos)."""
         source = reads.select(F.col("id").alias("read_id"), normal(F.col("seq")).alias("seq"))
-        runs = seeds.match_runs(seeds.seed_join(source, index.sized(index.doubled_kmers(targets, self.o.min_seed), targets), self.o.min_seed), self.o.min_seed)
+        runs = seeds.match_runs(seeds.seed_join(source, index.sized(self.kmers if self.kmers is not None else index.doubled_kmers(targets, self.o.min_seed), targets), self.o.min_seed), self.o.min_seed)
         return runs.groupBy("read_id").agg(F.collect_list(F.struct(F.col("b").cast("int").alias("b"), F.col("e").cast("int").alias("e"), F.col("pos").cast("long").alias("pos"))).alias("runs")).withColumnRenamed("read_id", "id")
 
     def regions(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
         """The columns of reads, and their hits before ranking."""
         targets = with_substitutes(targets)
-        told = reads.sparkSession.sparkContext.broadcast(collected(targets))
+        told = reads.sparkSession.sparkContext.broadcast(collected(targets, self.o))
         o, k = self.o, self.o.min_seed
         rows = reads.join(self.matches(reads, targets), "id", "left")
         keep = reads.columns
@@ -138,7 +141,7 @@ class Aligner:
         """Single-end records: id, name, and the fields of a SAM line."""
         o = self.o
         found = self.regions(reads, targets)
-        told = reads.sparkSession.sparkContext.broadcast(collected(with_substitutes(targets)))
+        told = reads.sparkSession.sparkContext.broadcast(collected(with_substitutes(targets), o))
         found = found.select("id", "name", "seq", *[F.col(c) if c in reads.columns else F.lit(None).cast("string").alias(c) for c in ("qual", "comment")], "regions")
 
         def run(batches):
@@ -170,7 +173,7 @@ class Aligner:
         """Paired records. Mates have ids 2 i and 2 i + 1 and equal names but for a closing /digit."""
         o = self.o
         targets = with_substitutes(targets)
-        target = collected(targets)
+        target = collected(targets, o)
         told = reads.sparkSession.sparkContext.broadcast(target)
         optional = [F.col(c) if c in reads.columns else F.lit(None).cast("string").alias(c) for c in ("qual", "comment")]
         source = chunked(reads.select("id", trim_read_number(F.col("name")).alias("name"), "seq", *optional), o.chunk_bases)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bases import reverse_complement, with_kmers
+from ..functions.bases import reverse_complement, upper, with_kmers
 
 #: Positions per bin of the contig lookup.
 BIN = 4096
@@ -56,3 +56,29 @@ def doubled_kmers(targets: DataFrame, k: int) -> DataFrame:
     behind = heads.select("off", F.array_join(F.collect_list("head").over(w.rowsBetween(1, k - 1)), "").substr(1, k - 1).alias("behind"))
     tail = both.join(behind, "off").withColumn("whole", F.concat("seq", "behind"))
     return with_kmers(tail, ["off"], "whole", k).select("kmer", (F.col("off") + F.col("q")).alias("pos"))
+
+
+def holes(targets: DataFrame) -> DataFrame:
+    """(rid, off, len, amb): runs of one letter other than A, C, G, T; a change of letter starts a new run."""
+    parts = targets.select("rid", F.posexplode(F.regexp_extract_all(upper(F.col("seq")), F.lit(r"(?s)([ACGT]+)|(([^ACGT])\3*)"), F.lit(0))).alias("i", "part"))
+    w = W.partitionBy("rid").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    size = F.length("part").cast("long")
+    return parts.select("rid", (F.sum(size).over(w) - size).alias("off"), size.alias("len"), F.substring("part", 1, 1).alias("amb")).where("amb not in ('A', 'C', 'G', 'T')")
+
+
+def ambiguous_in(spans: DataFrame, holes_: DataFrame) -> DataFrame:
+    """spans (rid, b, e) with n_ambiguous: bases of holes inside each. A contig's holes meet its spans by an equi-join."""
+    h = holes_.select("rid", F.col("off").alias("_o"), F.col("len").alias("_l"))
+    inside = F.greatest(F.lit(0), F.least(F.col("e"), F.col("_o") + F.col("_l")) - F.greatest(F.col("b"), F.col("_o")))
+    found = spans.join(h, "rid").where("_o < e and _o + _l > b").groupBy("rid", "b", "e").agg(F.sum(inside).alias("n_ambiguous"))
+    return spans.join(found, ["rid", "b", "e"], "left").fillna(0, ["n_ambiguous"])
+
+
+def save(targets: DataFrame, path: str, k: int) -> None:
+    """The index as tables under `path`: targets, contigs, holes and the k-mers, clustered by k-mer."""
+    for name, df in (("targets", targets), ("contigs", contigs(targets)), ("holes", holes(targets)), ("kmers", doubled_kmers(targets, k).repartition("kmer").sortWithinPartitions("kmer"))):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("targets", "contigs", "holes", "kmers")}

@@ -140,11 +140,8 @@ def bridging_seeds(spark, d):
 h as (select item_id, i, amb, i - row_number() over (partition by item_id, amb order by i) as g from l where amb not in ('A', 'C', 'G', 'T'))
 select item_id, min(i) - 1 as off, count(*) as len, amb from h group by item_id, amb, g""")
 def hole_runs(spark, d):
-    """Runs of one letter other than A, C, G, T; a change of letter starts a new one."""
-    parts = table(spark, d, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all(bases.upper(F.col("text")), F.lit(r"(?s)([ACGT]+)|(([^ACGT])\3*)"), F.lit(0))).alias("i", "part"))
-    w = W.partitionBy("item_id").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    size = F.length("part").cast("long")
-    return parts.select("item_id", (F.sum(size).over(w) - size).alias("off"), size.alias("len"), F.substring("part", 1, 1).alias("amb")).where("amb not in ('A', 'C', 'G', 'T')")
+    t = table(spark, d, "benchmark").select(F.col("item_id").alias("rid"), F.col("text").alias("seq"))
+    return index.holes(t).withColumnRenamed("rid", "item_id")
 
 
 KMERS = WHOLE + f", pz as (select unnest(range(0, length(s) - {K} + 1)) as pos, s from whole), idx as (select pos, substr(s, pos + 1, {K}) as kmer from pz)"

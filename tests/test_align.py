@@ -141,6 +141,24 @@ def test_sam_text(spark, tmp_path, world):
         sam.read_group("ID:x")
 
 
+def test_a_saved_index_and_comments(spark, tmp_path, world):
+    from strandline.operators import index
+
+    _, contigs, targets = world
+    named = targets.selectExpr("*", "'a\tb' as anno", "rid = 1 as is_alt")
+    index.save(named, str(tmp_path / "index"), 19)
+    saved = index.load(spark, str(tmp_path / "index"))
+    reads = spark.createDataFrame([(0, "a", contigs[0][600:700])], "id long, name string, seq string")
+    (r,) = Aligner(kmers=saved["kmers"], ref_comment=True).align(reads, saved["targets"]).collect()
+    assert r.pos == 601 and r.tags[-1] == "XR:Z:a b"
+    assert saved["contigs"].count() == 2 and saved["holes"].count() == 0
+    odd = spark.createDataFrame([(0, "x", "ACGNNnRRACG")], "rid int, name string, seq string")
+    found = index.holes(odd)
+    assert [(h.off, h.len, h.amb) for h in found.orderBy("off").collect()] == [(3, 3, "N"), (6, 2, "R")]
+    spans = spark.createDataFrame([(0, 0, 3), (0, 2, 7), (0, 0, 11)], "rid int, b int, e int")
+    assert {(s.b, s.e): s.n_ambiguous for s in index.ambiguous_in(spans, found).collect()} == {(0, 3): 0, (2, 7): 4, (0, 11): 5}
+
+
 def test_a_stream_of_reads_is_aligned_by_batch(spark, tmp_path, world):
     from strandline.streaming.chunks import align_stream
 
