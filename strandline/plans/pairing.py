@@ -190,14 +190,6 @@ def chunk_assign(spark, d):
 # kernels: no SQL says what they do; tests hold them against brute force
 
 
-def sampled_reads(spark, d):
-    """Two mates of 120 bases from every document that is long enough, the second on the other strand."""
-    r = reads(spark, d).where("length(seq) >= 600")
-    one = r.select((F.col("read_id") * 2).alias("id"), F.concat(F.lit("d"), "read_id").alias("name"), F.substring("seq", 101, 120).alias("seq"))
-    two = r.select((F.col("read_id") * 2 + 1).alias("id"), F.concat(F.lit("d"), "read_id").alias("name"), bases.reverse_complement(F.substring("seq", 381, 120)).alias("seq"))
-    return one.unionByName(two)
-
-
 def windows(spark, d, size=150):
     """Stretches of all documents, each `size` bases, as reads."""
     r = reads(spark, d)
@@ -206,6 +198,14 @@ def windows(spark, d, size=150):
     return w.select((F.col("read_id") * 100_000 + F.col("k")).alias("id"), F.concat(F.lit("d"), "read_id", F.lit("."), "k").alias("name"), "seq")
 
 
+def mates(spark, d, size=150):
+    """Both ends of stretches of all documents, as mates of up to `size` bases, the second on the other strand. Together they hold every base."""
+    w = windows(spark, d, 2 * size)
+    one = w.select((F.col("id") * 2).alias("id"), "name", F.substring("seq", 1, size).alias("seq"))
+    two = w.select((F.col("id") * 2 + 1).alias("id"), "name", bases.reverse_complement(F.expr(f"right(seq, {size})")).alias("seq"))
+    return one.unionByName(two)
+
+
 @query(None)
 def regions(spark, d):
     """Hits of stretches of the documents on the benchmark items, before ranking."""
@@ -221,6 +221,5 @@ def alignments(spark, d):
 
 @query(None)
 def paired_alignments(spark, d):
-    """SAM records of mates from the documents on the documents' own first 200 as targets."""
-    t = reads(spark, d).where("read_id < 200 and length(seq) >= 600").select(F.col("read_id").cast("int").alias("rid"), F.concat(F.lit("doc"), "read_id").alias("name"), F.substring("seq", 1, 600).alias("seq"))
-    return align.Aligner().align_pairs(sampled_reads(spark, d), t)
+    """SAM records of mates from the whole documents on the benchmark items."""
+    return align.Aligner().align_pairs(mates(spark, d), targets(spark, d))
