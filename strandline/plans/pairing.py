@@ -156,7 +156,7 @@ def xa_tags(spark, d):
 
 @query(f"with {FAMILIES}, t as (select * from f where rank <= 3) select a.read_id, a.hit, string_agg('c' || b.hit % 7 || ',' || b.hit || ',+,50M,' || b.score || ';', '' order by b.rank) as sa from t a join t b on a.read_id = b.read_id and a.hit <> b.hit group by a.read_id, a.hit")
 def sa_tags(spark, d):
-    """Of each of a read's first three hits the other ones."""
+    """Of each of a read's first three hits the other ones, as its SQL has it; sa_tags_all takes all hits."""
     t = families(spark, d).where("rank <= 3").select("read_id", "hit", "score", "rank")
     o = t.select("read_id", F.col("hit").alias("other"), F.col("score").alias("s"), F.col("rank").alias("r"))
     text = F.concat(F.lit("c"), (F.col("other") % 7).cast("string"), F.lit(","), F.col("other").cast("string"), F.lit(",+,50M,"), F.col("s").cast("string"), F.lit(";"))
@@ -164,6 +164,15 @@ def sa_tags(spark, d):
     return j.groupBy("read_id", "hit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", text.alias("t")))), lambda x: x["t"]), "").alias("sa"))
 
 
+@query(f"with {FAMILIES} select a.read_id, a.hit, string_agg('c' || b.hit % 7 || ',' || b.hit || ',+,50M,' || b.score || ';', '' order by b.rank) as sa from f a join f b on a.read_id = b.read_id and a.hit <> b.hit group by a.read_id, a.hit")
+def sa_tags_all(spark, d):
+    """Of each hit of a read all other ones: an array per read, which every hit takes without its own entry."""
+    text = F.concat(F.lit("c"), (F.col("hit") % 7).cast("string"), F.lit(","), F.col("hit").cast("string"), F.lit(",+,50M,"), F.col("score").cast("string"), F.lit(";"))
+    found = families(spark, d).where("read_id is not null").groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("rank", "hit", text.alias("t")))).alias("all")).where("size(all) > 1")
+    own = found.select("read_id", "all", F.explode("all.hit").alias("hit"))
+    return own.select("read_id", "hit", F.array_join(F.transform(F.filter("all", lambda x: x["hit"] != F.col("hit")), lambda x: x["t"]), "").alias("sa"))
+
+
 @query("select conv_id, turn, regexp_replace(role || conv_id || '/' || (turn % 12), '(.)/[0-9]$', '\\1') as name from conversations")
 def trim_readno(spark, d):
     c = table(spark, d, "conversations")

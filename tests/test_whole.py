@@ -42,3 +42,10 @@ def test_pairs_of_late_and_short_documents_map(spark, tables):
     mapped = {(r.id // 200_000, r.rname) for r in got if r.rname != "*" and not r.flag & 4}
     assert mapped == {(0, "item0"), (6000, "item1")}
     assert {r.id for r in got} == {r.id for r in pairing.mates(spark, tables).collect()}
+
+
+def test_tags_name_all_other_hits(spark, tmp_path):
+    rows = [(7, h, float(60 - h)) for h in range(1, 13)] + [(8, 20, 5.0), (None, 30, 5.0), (None, 31, 5.0)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.hit: [int(x.split(",")[1]) for x in r.sa.split(";")[:-1]] for r in pairing.sa_tags_all(spark, str(tmp_path)).collect()}
+    assert got == {h: [x for x in range(1, 13) if x != h] for h in range(1, 13)}
