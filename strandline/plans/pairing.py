@@ -102,11 +102,8 @@ g as (select item_id, string_agg(run || b, '' order by i) as head, max(n) - max(
 select q.item_id, coalesce(head || tail, cast(length(t) as varchar)) as md, coalesce(nm, 0) as nm from q left join g using (item_id)"""
 
 
-@query(MD)
-def md_tag(spark, d):
-    """MD and NM of gapless alignments: runs of equal bases between differences."""
-    t = F.substring(bases.from_text(F.col("text")), 1, 80)
-    q = table(spark, d, "benchmark").select("item_id", t.alias("t")).withColumn("s", F.concat(F.translate(F.substring("t", 1, 40), "A", "C"), F.substring("t", 41, 40)))
+def md_of(q):
+    """q (item_id, t, s): MD and NM of s without gaps on t, runs of equal bases between differences."""
     x = q.select("item_id", F.length("t").alias("n"), F.posexplode(F.arrays_zip(F.split("t", "").alias("b"), F.split("s", "").alias("c"))).alias("i", "z"))
     w = W.partitionBy("item_id").orderBy("i")
     k = x.where("z.b != z.c").withColumn("run", F.col("i") - F.coalesce(F.lag("i").over(w), F.lit(-1)) - 1)
@@ -115,6 +112,26 @@ def md_tag(spark, d):
     return out.select("item_id", F.coalesce(F.concat("head", F.col("tail").cast("string")), F.length("t").cast("string")).alias("md"), F.coalesce("nm", F.lit(0)).cast("long").alias("nm"))
 
 
+@query(MD)
+def md_tag(spark, d):
+    """MD and NM of the first 80 bases of each item, as its SQL has it; md_tag_whole takes whole items."""
+    t = F.substring(bases.from_text(F.col("text")), 1, 80)
+    return md_of(table(spark, d, "benchmark").select("item_id", t.alias("t")).withColumn("s", F.concat(F.translate(F.substring("t", 1, 40), "A", "C"), F.substring("t", 41, 40))))
+
+
+MD_WHOLE = """with q as (select item_id, t, translate(t, 'A', 'C') as s from (select item_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'CGTACGTACGTACGTACGTACGTACG') as t from benchmark)),
+x as (select item_id, unnest(range(1, length(t) + 1)) as i, t, s from q), m as (select item_id, i, substr(t, i, 1) as b, substr(t, i, 1) <> substr(s, i, 1) as diff, length(t) as n from x),
+k as (select item_id, i, b, n, i - coalesce(lag(i) over (partition by item_id order by i), 0) - 1 as run from m where diff),
+g as (select item_id, string_agg(run || b, '' order by i) as head, max(n) - max(i) as tail, count(*) as nm from k group by item_id)
+select q.item_id, coalesce(head || tail, cast(length(t) as varchar)) as md, coalesce(nm, 0) as nm from q left join g using (item_id)"""
+
+
+@query(MD_WHOLE)
+def md_tag_whole(spark, d):
+    """MD and NM of whole items, with differences over all their length."""
+    return md_of(table(spark, d, "benchmark").select("item_id", bases.from_text(F.col("text")).alias("t")).withColumn("s", F.translate("t", "A", "C")))
+
+
 @query("select o_orderkey, (o_custkey * 37) % 4096 as flag, ((o_custkey * 37) % 4096 & 4) <> 0 as unmapped, ((o_custkey * 37) % 4096 & 16) <> 0 as is_rev, ((o_custkey * 37) % 4096 & 256) <> 0 as secondary, ((o_custkey * 37) % 4096 & 2048) <> 0 as supplementary from orders")
 def sam_flags(spark, d):
     t = table(spark, d, "orders").select("o_orderkey", ((F.col("o_custkey") * 37) % 4096).alias("flag"))

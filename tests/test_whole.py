@@ -49,3 +49,10 @@ def test_tags_name_all_other_hits(spark, tmp_path):
     spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.hit: [int(x.split(",")[1]) for x in r.sa.split(";")[:-1]] for r in pairing.sa_tags_all(spark, str(tmp_path)).collect()}
     assert got == {h: [x for x in range(1, 13) if x != h] for h in range(1, 13)}
+
+
+def test_md_goes_over_whole_items(spark, tmp_path):
+    text = "b" * 150 + "d" + "c" * 99 + "h" + "b" * 49  # d and h are A
+    spark.createDataFrame([(1, text), (2, "bcb"), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: (r.md, r.nm) for r in pairing.md_tag_whole(spark, str(tmp_path)).collect()}
+    assert got == {1: ("150A99A49", 2), 2: ("3", 0), 3: ("0", 0)}
