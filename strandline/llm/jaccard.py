@@ -178,11 +178,13 @@ def similarity_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     stars = keys.join(leads, "key").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     found = written(components(stars), "groups")  # node, label
     grouped = nodes.join(found, "node")
-    # the texts of nodes in groups, by their least id
-    wanted = found.join(nodes, "node").select(F.col("least").alias("doc_id"))
-    wanted = F.broadcast(wanted) if found.count() <= MOST_BROADCAST else wanted
-    texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").join(wanted, "doc_id", "left_semi")
-    sets = sets_of(texts, width).join(found, "node").groupBy("node").agg(F.first("sets").alias("sets"))
+    # the texts of nodes in groups, by their least id; nodes without an id are among the rows without one
+    wanted = grouped.select(F.col("least").alias("doc_id"))
+    texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
+    sets = sets_of(texts.join(F.broadcast(wanted) if found.count() <= MOST_BROADCAST else wanted, "doc_id", "left_semi"), width)
+    if wanted.where("doc_id is null").limit(1).count():
+        sets = sets.union(sets_of(texts.where("doc_id is null"), width).groupBy("node").agg(F.first("sets").alias("sets")))
+    sets = sets.join(found, "node").groupBy("node").agg(F.first("sets").alias("sets"))
     blocks = found.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = grouped.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block i of a group goes to the tasks (i, j) and (j, i), that are one: the lesser number comes first

@@ -44,6 +44,17 @@ def test_join_equals_brute_force(spark, block):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("block", [1000, 2])
+def test_join_of_near_copies_without_an_id(spark, block):
+    rng = random.Random(5)
+    w = [[f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(3)]
+    near = lambda k, i: " ".join([*w[k][:i], "new", *w[k][i + 1 :]])
+    rows = [(1, " ".join(w[0])), (None, near(0, 59)), (None, near(0, 0)), (2, " ".join(w[1])), (None, near(1, 59)), (None, near(1, 59)), (None, " ".join(w[2])), (None, near(2, 0)), (None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.similarity_join(df, block=block).collect()), key=str)
+    assert got == brute(rows) and sum(n for _, _, n in got) > 10
+
+
 def test_join_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.similarity_join(df).count() == 0
