@@ -28,13 +28,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: that of the least id."""
-    classes = jaccard.similarity_join(docs)
-    kept = classes.where("doc_id <=> class_id").select("doc_id").distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    if docs.count() != docs.select("doc_id").distinct().count():  # rows that repeat an id
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    """One document of each class of near duplicates stays: that of the least id; ids may be null or repeat."""
+    return jaccard.one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

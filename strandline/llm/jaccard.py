@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, mix64, pieces, string_array, views, written
+from .common import drop_written, mix64, pieces, string_array, unused, views, with_text, written
 from .components import components
 from .shingles import MinHash, bands_for, distinct, shingle_hashes, word_hashes
 
@@ -47,6 +47,11 @@ def set_digests(sets: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return fixed_binary(np.stack([a[ends[1:]] - a[ends[:-1]], b[ends[1:]] - b[ends[:-1]]], 1))
 
 
+def node_digests(sets: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """set_digests, null without shingle."""
+    return pc.if_else(pa.array(sizes == 0), pa.scalar(None, pa.binary()), set_digests(sets, sizes))
+
+
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     words, counts = word_hashes(*views(texts))
     return distinct(*shingle_hashes(words, counts, width))
@@ -65,9 +70,7 @@ def signed(docs: DataFrame, bands: int, rows: int, width: int, seed: int) -> Dat
                 h = np.broadcast_to(salt, (len(sizes), bands)).copy()
                 for r in range(rows):
                     h = mix64(h * np.uint64(31) + sig[:, :, r])
-                none = pa.array(sizes == 0)
-                node = set_digests(sets, sizes)
-                node = pc.if_else(none, pa.scalar(None, pa.binary()), node)
+                node = node_digests(sets, sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * bands), pa.array(h.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), node, lists], ["doc_id", "node", "bands"])
 
@@ -168,8 +171,8 @@ def compared(t: pa.Table, threshold: float, apart: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(linked), pa.array([nodes[r] for r in label], pa.binary())], ["node", "linked", "root"])
 
 
-def similarity_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, width: int = 5, seed: int = 11, block: int = 1000) -> DataFrame:
-    spark = docs.sparkSession
+def linked_nodes(docs: DataFrame, threshold: float, recall: float, width: int, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, bands) of each row, and (node, least, copies, root, linked) of each node; root is its class."""
     bands, rows = bands_for(threshold, recall)
     sig = written(signed(docs, bands, rows, width, seed), "signed")
     nodes = written(sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
@@ -205,6 +208,33 @@ def similarity_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     if whole is not None:
         got = got.join(whole.withColumnRenamed("label", "far"), "node", "left").withColumn("root", F.coalesce("far", "root")).drop("far")
     known = nodes.join(got, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))
+    return sig, known
+
+
+def similarity_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, width: int = 5, seed: int = 11, block: int = 1000) -> DataFrame:
+    sig, known = linked_nodes(docs, threshold, recall, width, seed, block)
     classes = known.groupBy("root").agg(F.min("least").alias("class_id"))
     of_node = known.join(classes, "root").select("node", "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"))
     return sig.select("doc_id", "node").join(of_node, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, width: int = 5, seed: int = 11, block: int = 1000) -> DataFrame:
+    """One row of each class, as it is: one of the least id, null only if there is no other, and of one set of shingles.
+
+    Rows of texts without a word are similar to none and all stay."""
+    sig, known = linked_nodes(docs, threshold, recall, width, seed, block)
+    leads = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("lead")).select(F.col("lead.least").alias("_least"), F.col("lead.node").alias("_lead"))
+    keep = docs.columns
+    rows, text = with_text(docs, keep)
+    node = unused("node", keep)
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, text, 2 << 20):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), node_digests(*shingle_sets(string_array(part.column(text)), width))], [*keep, node])
+
+    rows = rows.mapInArrow(run, docs.select(*keep).schema.add(node, "binary"))
+    out = rows.where(rows[node].isNotNull()).join(leads, (rows[node] == leads["_lead"]) & rows["doc_id"].cast("long").eqNullSafe(leads["_least"]), "left_semi")
+    if sig.where("node is not null").groupBy("doc_id", "node").count().where("count > 1").limit(1).count():  # copies under one id
+        out = out.dropDuplicates([node])
+    return out.unionByName(rows.where(rows[node].isNull())).select(*keep)

@@ -141,3 +141,20 @@ def test_neighbours_reach_their_recall(spark):
     got = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, lambda c: c % 20 == 0, rounds=2).collect()}
     want = {(q, v) for q, _, v in nearest(np.arange(1500), x.astype(float), 20)}
     assert len(got & want) / len(want) >= 0.9
+
+
+def test_the_stage_keeps_one_row_of_each_class_whatever_the_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = [[f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(6)]
+    t = [" ".join(w) for w in words]
+    near = lambda k, i: " ".join([*words[k][:i], "new", *words[k][i + 1 :]])
+    rows = [(None, t[0]), (None, t[1]), (7, t[2]), (7, t[3]), (3, near(2, 59)), (None, t[4]), (None, t[4]), (None, near(4, 59)), (8, t[5]), (8, t[5]), (9, near(5, 0)), (10, ""), (10, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "cast(null as string) as lang", "1 as node")
+    out = corpus_pipeline.distinct(spark, df, "")
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    either = [(None, t[4]), (None, near(4, 59))]
+    assert sum(x in either for x in got) == 1
+    assert sorted((x for x in got if x not in either), key=str) == sorted([(None, t[0]), (None, t[1]), (3, near(2, 59)), (7, t[3]), (8, t[5]), (10, ""), (10, None)], key=str)
