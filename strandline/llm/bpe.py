@@ -1,7 +1,7 @@
 """Exact byte-pair encoding of whole texts with the tokenizers library, paid once per distinct word.
 
 White space ends a pre-token in the word_bpe vocabulary, so a text's ids are the ids of its words in order. Each
-Python worker keeps a bounded table word -> ids; only words that are new to it reach the library. Words outside plain
+task keeps a bounded table word -> ids; only words that are new to it reach the library. Words outside plain
 Latin letters, or that hold the mark of a special token, go through the library's whole pipeline; all others are split
 by the vocabulary's own pattern and only their merges are left to the library.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import from_views, views
+from .common import AT_END, from_views, views
 
 #: Fixed values of the vocabulary's pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -24,7 +24,7 @@ class WordEncoder:
 
     most_words bounds the table: beyond it the table starts anew, which costs time and changes no result."""
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -147,6 +147,16 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def emptied() -> None:
+    """The words of a task are not kept for the next one; the vocabulary is."""
+    for e in _encoders.values():
+        e.clear()
+        e.clear_parts()
+
+
+AT_END.append(emptied)
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

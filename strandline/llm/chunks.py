@@ -1,12 +1,12 @@
 """Byte-pair encoding and decoding with content-defined chunk reuse.
 
 A gear hash over the last 16 bytes cuts a text wherever its low bits are zero, so equal passages are cut alike in all
-documents. Each distinct chunk is encoded once per Python worker. A cut may fall inside a word; the ids beside it are
+documents. Each distinct chunk is encoded once per task, which keeps a bounded store of them. A cut may fall inside a word; the ids beside it are
 then wrong. Each join is re-encoded from the last white space before the cut to the first one behind it, and the ids
 that the chunks give for those two word parts are dropped. White space always ends a token of this vocabulary; a chunk
 whose ids do not split there in exact agreement is taken into the re-encoded window as a whole.
 
-Defined results: a null text counts as empty; an empty text has 0 ids and the digests of the empty string; repeated rows
+Defined results: an empty table gives no row; a null text counts as empty; an empty text has 0 ids and the digests of the empty string; repeated rows
 give repeated results; other columns of the input are ignored; a text without white space is one window, that is encoded
 whole.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Pool, WordEncoder, encoder, gather, vocabulary
-from .common import from_views, pieces, string_array, views
+from .common import from_views, pieces, string_array, tidy, views
 
 GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -143,6 +143,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, bits: int = 9) -> Da
     The vocabulary has no decoder, so its decode() joins the ids' tokens by one space, as the library does."""
     path = path or vocabulary()
 
+    @tidy
     def run(batches):
         words = encoder(path)
         chunked, ids_text, decoded = ChunkEncoder(words, bits), Written([str(i) for i in range(len(words.tokens))]), Written(words.tokens)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, whose one machine holds driver
+    and executors, has one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
     return path or "/tmp/strandline-shared"
 
 
@@ -28,15 +35,44 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage is cut and lost executors cost nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def drop_written(spark: SparkSession, df_or_path) -> None:
-    """Remove a table made by written()."""
-    paths = [df_or_path] if isinstance(df_or_path, str) else [f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()[:1]]
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    """Remove a table made by written(), or the one at a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(df_or_path if isinstance(df_or_path, str) else df_or_path.written_to)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: What a Python worker drops at the end of a task: workers live on, and so would what a task has cached.
+AT_END: list[Callable[[], None]] = []
+
+
+def give_back() -> None:
+    """Gives what a worker no longer needs back to the system."""
+    for drop in AT_END:
+        drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
+def tidy(run):
+    """run, the generator of a task, with give_back() at its end."""
+
+    @functools.wraps(run)
+    def wrapped(*given):
+        try:
+            yield from run(*given)
+        finally:
+            give_back()
+
+    return wrapped
 
 
 def string_array(col) -> pa.Array:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import mix64
+from .common import AT_END, mix64
 
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * RADIX)
@@ -20,7 +20,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """RADIX and its inverse modulo 2**64, to the powers 0 to n - 1."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for i, base in enumerate((int(RADIX), pow(int(RADIX), -1, 1 << 64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -28,6 +28,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def without_powers() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+AT_END.append(without_powers)
+
+
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of each text, in order, and the number of words of each text."""
     n = len(raw)
@@ -69,12 +76,12 @@ def distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class MinHash:
-    """`size` permutations h -> a h + b modulo 2**32 with odd a, from a seed."""
+    """`size` hashes of a strongly universal family, from a seed: the upper 32 bits of a x + b modulo 2**64, x of 32 bits and a
+    odd, so that each is a permutation of 64 bits. The first ones of a larger size are those of a smaller one."""
 
     def __init__(self, size: int, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.a = rng.integers(0, 1 << 32, size, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-        self.b = rng.integers(0, 1 << 32, size, dtype=np.uint64).astype(np.uint32)
+        drawn = np.random.default_rng(seed).integers(0, 1 << 64, (size, 2), dtype=np.uint64)
+        self.a, self.b = drawn[:, 0] | np.uint64(1), drawn[:, 1]
 
     def signatures(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """(texts, size) of uint32."""
@@ -83,13 +90,13 @@ class MinHash:
         if not len(full):
             return out
         starts = (np.cumsum(counts) - counts)[full]
-        x = (hashes >> np.uint64(32)).astype(np.uint32)
-        least, h = np.empty((len(self.a), len(full)), np.uint32), np.empty_like(x)
+        x = hashes >> np.uint64(32)
+        least, h = np.empty((len(self.a), len(full)), np.uint64), np.empty_like(x)
         for i, (a, b) in enumerate(zip(self.a, self.b)):
             np.multiply(x, a, out=h)
             np.add(h, b, out=h)
             np.minimum.reduceat(h, starts, out=least[i])
-        out[full] = least.T
+        out[full] = (least >> np.uint64(32)).T
         return out
 
 

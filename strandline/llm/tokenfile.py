@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary
-from .common import new_path, pieces, string_array
+from .common import new_path, pieces, string_array, tidy
 
 MAGIC, END = b"SLT1", 2
 BLOCK = 4096
@@ -258,6 +258,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> None:
     path = path or vocabulary()
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
+    @tidy
     def run(batches):
         from pyspark import TaskContext
 
@@ -298,6 +299,7 @@ def read_ids(spark: SparkSession, folder: str, path: str | None = None) -> DataF
     path = path or vocabulary()
     schema = "doc_id long, part long, place long, n_tokens long, ids_crc32 long"
 
+    @tidy
     def run(batches):
         size = len(encoder(path).tokens)
         for batch in batches:
