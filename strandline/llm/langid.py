@@ -3,10 +3,11 @@
 Letters are lower-cased, all else is a space, runs of spaces are one; n-grams of 1 to 3 characters are hashed into
 `buckets` features, weighted (1 + ln count) x idf and scaled to length 1. Document frequencies are counted over all
 training rows. Weights are learned with follow-the-regularised-leader (elastic net: l1 makes them sparse, l2 small) on a
-sample of at most `per_language` rows of each language (a documented bound; the hash of the row decides), a fifth of which
-only fits the temperature of the softmax.
+sample of at most `per_language` different texts of each language (a documented bound), a fifth of which only fits the
+temperature of the softmax. A hash of the row's id and text draws the sample, so it is the same however the rows are dealt
+over files and tasks; rows without an id are drawn by their text alone.
 
-Defined results: text that is null, empty or without a letter gets `und` with score 0; ties go to the language that
+Defined results: an empty table gives no row; text that is null, empty or without a letter gets `und` with score 0; ties go to the language that
 sorts first; without any labelled training row all texts are `und`; repeated rows get equal results; other columns are
 ignored; whole texts of any length are read.
 """
@@ -18,17 +19,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pieces, string_array, with_text
+from .common import pieces, string_array, tidy, with_text
 
 _letters: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    """Code point -> itself, or a space if it is no letter; code points beyond the table are one class of letters."""
+    """Code point -> itself, or a space if it is no letter; over all of Unicode."""
     if not _letters:
-        _letters.append(np.array([c if chr(c).isalpha() else 32 for c in range(0x20000)], np.uint32))
+        _letters.append(np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], np.uint32))
     return _letters[0]
 
 
@@ -37,8 +39,7 @@ def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     rows = [t.lower() for t in texts.to_pylist()]
     raw = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
     off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))])
-    letters = letter_table()
-    c = letters[np.minimum(raw, len(letters) - 1)]
+    c = letter_table()[raw]
     # a space before and behind each text
     n = len(rows)
     out = np.full(len(c) + 2 * n, 32, np.uint32)
@@ -144,10 +145,11 @@ def temperature(z: np.ndarray, y: np.ndarray) -> float:
 def document_frequencies(train: DataFrame, buckets: int) -> np.ndarray:
     """In how many training texts each feature occurs, and at last their number."""
 
+    @tidy
     def run(batches):
         df = np.zeros(buckets + 1, np.int64)
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", 1 << 20):
                 c, bounds = codes(string_array(part.column("text")))
                 df[-1] += part.num_rows
                 for at, _ in counted(c, bounds, buckets):
@@ -161,20 +163,22 @@ def document_frequencies(train: DataFrame, buckets: int) -> np.ndarray:
 
 
 def fit(train: DataFrame, buckets: int = 1 << 15, per_language: int = 500, **options) -> Model:
-    """train: (text, lang) rows; null languages take no part."""
-    train = train.where("lang is not null").select(F.col("text").cast("string"), "lang")
+    """train: (text, lang) rows, and doc_id if there is one; null languages take no part."""
+    number = F.col("doc_id").cast("string") if "doc_id" in train.columns else F.lit(None).cast("string")
+    train = train.where("lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), number.alias("number"))
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(buckets), np.zeros((buckets, 0)), np.zeros(0), 1.0)
     share = F.element_at(F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, 0.8 * per_language / sizes[k]))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("text", "lang", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
-    sample = train.withColumn("share", share).where(draw < F.col("share")).select("lang", "text").limit(per_language * len(languages))
+    draw = F.pmod(F.xxhash64("number", "lang", "text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = train.withColumn("share", share).where(draw < F.col("share")).select("lang", "text", F.xxhash64("text").alias("key"))
     df = document_frequencies(train, buckets)
 
+    @tidy
     def features(batches):
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", 1 << 20):
                 c, bounds = codes(string_array(part.column("text")))
                 rows, at, tf = [], [], []
                 for i, (used, n) in enumerate(counted(c, bounds, buckets)):
@@ -182,9 +186,13 @@ def fit(train: DataFrame, buckets: int = 1 << 15, per_language: int = 500, **opt
                         rows.append(i)
                         at.append(used.astype(np.int32).tobytes())
                         tf.append(n.astype(np.int64).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(rows, pa.int64())), pa.array(at, pa.binary()), pa.array(tf, pa.binary())], ["lang", "at", "tf"])
+                took = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("lang").take(took), part.column("key").take(took), pa.array(at, pa.binary()), pa.array(tf, pa.binary())], ["lang", "key", "at", "tf"])
 
-    got = sample.mapInArrow(features, "lang string, at binary, tf binary").collect()
+    # features are made where the texts are; what is collected is bounded by per_language
+    drawn = sample.mapInArrow(features, "lang string, key long, at binary, tf binary").dropDuplicates(["lang", "key"])
+    ranked = drawn.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= per_language)
+    got = sorted(ranked.collect(), key=lambda r: (r["lang"], r["rank"]))
     idf = (np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0).astype(np.float32)
     x, y = [], []
     for r in got:
@@ -206,10 +214,11 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
     schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     rows, text = with_text(docs, keep)
 
+    @tidy
     def run(batches):
         model = told.value
         for batch in batches:
-            for part in pieces(batch, text, 2 << 20):
+            for part in pieces(batch, text, 1 << 20):
                 texts = string_array(part.column(text))
                 if model.languages:
                     p, has = model.scores(texts)
