@@ -7,30 +7,42 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, written
 
+#: Rows of (node, least neighbour), 32 bytes each or so, up to which they are broadcast.
+MOST_BROADCAST = 200_000
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a, b) of any ordered type, a != b -> (node, label), one row per node of an edge.
 
     Alternates large-star and small-star rounds: each node hands its least neighbour to its larger (then its smaller)
     neighbours, until no edge changes. The rounds grow with the logarithm of the longest chain. The least neighbour is an
-    aggregate with partial sums, so a node with a third of all edges costs one row per task; the join back is on plain
-    keys that adaptive execution can split."""
+    aggregate with partial sums, so a node with a third of all edges costs one row per task; it is broadcast while it is
+    small, and else a written table, so that adaptive execution can split a node of very many edges in the join back."""
 
     spark = edges.sparkSession
+
+    def back(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+        """rows joined with the least neighbour of a; least has n rows at most."""
+        if n <= MOST_BROADCAST:
+            return rows.join(F.broadcast(least), "a")
+        table = written(least, "least")
+        drop.append(table)
+        return rows.join(table, "a")
+
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    last = None
+    last, drop = None, []
     for _ in range(most_rounds):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = back(both.where("b > a"), least, 2 * now.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = written(large, "edges")
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
+        small = back(large, small_least, large.count()).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
         small = written(small, "edges")
         sign = small.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        drop_written(spark, now)
-        drop_written(spark, large)
-        now = small
+        for table in (now, large, *drop):
+            drop_written(spark, table)
+        drop, now = [], small
         if sign == last:
             break
         last = sign

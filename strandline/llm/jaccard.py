@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, mix64, pieces, string_array, unused, views, with_text, written
+from .common import drop_written, mix64, pieces, string_array, tidy, unused, views, with_text, written
 from .components import components
 from .shingles import MinHash, bands_for, distinct, shingle_hashes, word_hashes
 
@@ -60,11 +60,12 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 def signed(docs: DataFrame, bands: int, rows: int, width: int, seed: int) -> DataFrame:
     """doc_id, node (digest of the shingle set; null without shingle), bands."""
 
+    @tidy
     def run(batches):
         hashes = MinHash(bands * rows, seed)
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", 1 << 20):
                 sets, sizes = shingle_sets(string_array(part.column("text")), width)
                 sig = hashes.signatures(sets, sizes).reshape(len(sizes), bands, rows).astype(np.uint64)
                 h = np.broadcast_to(salt, (len(sizes), bands)).copy()
@@ -80,9 +81,10 @@ def signed(docs: DataFrame, bands: int, rows: int, width: int, seed: int) -> Dat
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
     """node, sets: the digest of each text's shingle set and the sorted set as bytes."""
 
+    @tidy
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text", 1 << 20):
                 sets, sizes = shingle_sets(string_array(part.column("text")), width)
                 off = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
                 data = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(sets))])
@@ -171,8 +173,9 @@ def compared(t: pa.Table, threshold: float, apart: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(linked), pa.array([nodes[r] for r in label], pa.binary())], ["node", "linked", "root"])
 
 
-def linked_nodes(docs: DataFrame, threshold: float, recall: float, width: int, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, bands) of each row, and (node, least, copies, root, linked) of each node; root is its class."""
+def linked_nodes(docs: DataFrame, threshold: float, recall: float, width: int, seed: int, block: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(doc_id, node, bands) of each row; (node, least, copies, root, linked) of each node, root is its class; the tables that
+    both read."""
     bands, rows = bands_for(threshold, recall)
     sig = written(signed(docs, bands, rows, width, seed), "signed")
     nodes = written(sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
@@ -208,33 +211,62 @@ def linked_nodes(docs: DataFrame, threshold: float, recall: float, width: int, s
     if whole is not None:
         got = got.join(whole.withColumnRenamed("label", "far"), "node", "left").withColumn("root", F.coalesce("far", "root")).drop("far")
     known = nodes.join(got, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))
-    return sig, known
+    drop_written(docs.sparkSession, found)
+    return sig, known, [t for t in (sig, nodes, judged) if t is not None]
 
 
 def similarity_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, width: int = 5, seed: int = 11, block: int = 1000) -> DataFrame:
-    sig, known = linked_nodes(docs, threshold, recall, width, seed, block)
+    sig, known, tables = linked_nodes(docs, threshold, recall, width, seed, block)
     classes = known.groupBy("root").agg(F.min("least").alias("class_id"))
     of_node = known.join(classes, "root").select("node", "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"))
-    return sig.select("doc_id", "node").join(of_node, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = written(sig.select("doc_id", "node").join(of_node, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "joined")
+    for table in tables:
+        drop_written(docs.sparkSession, table)
+    return out
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, width: int = 5, seed: int = 11, block: int = 1000) -> DataFrame:
     """One row of each class, as it is: one of the least id, null only if there is no other, and of one set of shingles.
 
-    Rows of texts without a word are similar to none and all stay."""
-    sig, known = linked_nodes(docs, threshold, recall, width, seed, block)
-    leads = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("lead")).select(F.col("lead.least").alias("_least"), F.col("lead.node").alias("_lead"))
+    Rows of texts without a word are similar to none and all stay; an empty table gives no row. Rows whose id is theirs alone
+    are told by it; only rows that share an id, or have none, are digested once more to tell which text they hold."""
+    spark = docs.sparkSession
+    sig, known, tables = linked_nodes(docs, threshold, recall, width, seed, block)
+    leads = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("lead")).select(F.col("lead.least").alias("doc_id"), F.col("lead.node").alias("node"))
+    leads = written(leads, "leads")
+    again = sig.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
+    again = written(again, "again")
+    shared, n_shared = again.where("doc_id is not null"), again.count()
+    gone = sig.where("node is not null and doc_id is not null").select("doc_id", "node").join(leads, ["doc_id", "node"], "left_anti").select("doc_id").union(shared).distinct()
+    gone = written(gone, "gone")
+    id_name = unused("id", docs.columns)
+    keyed = docs.withColumn(id_name, F.col("doc_id").cast("long"))
+    n_gone = gone.count()
+    small = F.broadcast(gone) if n_gone <= MOST_BROADCAST else gone
+    out = keyed.where(keyed[id_name].isNotNull()).join(small, keyed[id_name] == small["doc_id"], "left_anti").select(*docs.columns)
+    if n_shared:
+        told = again.select(F.col("doc_id").alias("_again"))
+        told = F.broadcast(told) if n_shared <= MOST_BROADCAST else told
+        rows = keyed.join(told, keyed[id_name].eqNullSafe(told["_again"]), "left_semi").select(*docs.columns)
+        out = out.unionByName(chosen_rows(rows, leads, width))
+    for table in tables:
+        drop_written(spark, table)
+    return out
+
+
+def chosen_rows(docs: DataFrame, leads: DataFrame, width: int) -> DataFrame:
+    """Of rows that share ids: one row for each (doc_id, node) of leads, and all rows without a shingle."""
     keep = docs.columns
     rows, text = with_text(docs, keep)
     node = unused("node", keep)
 
+    @tidy
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, text, 2 << 20):
+            for part in pieces(batch, text, 1 << 20):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), node_digests(*shingle_sets(string_array(part.column(text)), width))], [*keep, node])
 
     rows = rows.mapInArrow(run, docs.select(*keep).schema.add(node, "binary"))
+    leads = leads.select(F.col("doc_id").alias("_least"), F.col("node").alias("_lead"))
     out = rows.where(rows[node].isNotNull()).join(leads, (rows[node] == leads["_lead"]) & rows["doc_id"].cast("long").eqNullSafe(leads["_least"]), "left_semi")
-    if sig.where("node is not null").groupBy("doc_id", "node").count().where("count > 1").limit(1).count():  # copies under one id
-        out = out.dropDuplicates([node])
-    return out.unionByName(rows.where(rows[node].isNull())).select(*keep)
+    return out.dropDuplicates([node]).unionByName(rows.where(rows[node].isNull())).select(*keep)
