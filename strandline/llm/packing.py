@@ -10,12 +10,14 @@ Two pieces of a bin never share a cluster; `per_source` pieces of one source may
 many bits for each source).
 
 Defined results: a row per piece (doc_id, piece, start, length, bin_id, position, bin_fill); an empty or null text is one
-piece of length 1, its end id; null sources conflict with none; null clusters conflict with none; repeated rows are packed
+piece of length 1, its end id; an empty table gives no row; of sequences of equal length the one of the smaller id (nulls last),
+source and cluster is packed first; null sources conflict with none; null clusters conflict with none; repeated rows are packed
 as often as they occur; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary
-from .common import pieces, string_array, with_text
+from .common import pieces, string_array, tidy, with_text
 
 SCHEMA = "doc_id long, piece int, start long, length int, bin_id string, position int, bin_fill int"
 
@@ -73,10 +75,11 @@ def token_counts(docs: DataFrame, keep: list[str], path: str | None = None) -> D
 
     rows, text = with_text(docs, keep)
 
+    @tidy
     def run(batches):
         words = encoder(path)
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, 4 << 20):
                 n = words.encode(string_array(part.column(text)))[1] + 1
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(n)], [*keep, "n_tokens"])
 
@@ -84,15 +87,20 @@ def token_counts(docs: DataFrame, keep: list[str], path: str | None = None) -> D
 
 
 def pack(sized: DataFrame, capacity: int = 8192, shard: int = 4000, per_source: int = 2, rows: int | None = None) -> DataFrame:
-    """sized: (doc_id, source, cluster, n_tokens). rows: their number, if known."""
+    """sized: (doc_id, source, cluster, n_tokens). rows: their number, if known.
+
+    Rows that are equal in all of that are numbered, and the hash that deals rows out takes the number, so the bins are the
+    same however the rows lie, and no id or cluster gathers in a shard. The number of shards is a power of two: a table that
+    grows splits its shards and deals nothing else anew."""
     rows = sized.count() if rows is None else rows
-    shards = max(1, round(rows / shard))
-    # the hash takes all that tells rows apart, and a number for repeated ones, so no id or cluster gathers in a shard
-    salted = sized.select("doc_id", "source", "cluster", "n_tokens").withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    shards = 1 << max(0, round(math.log2(max(rows, 1) / shard)))
+    alike = sized.groupBy("doc_id", "source", "cluster", "n_tokens").agg(F.count("*").alias("times"))
+    each = alike.select("doc_id", "source", "cluster", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+    dealt = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "n_tokens", "nth"), F.lit(shards)).cast("int"))
 
     def run(key, t):
         shard_no = key[0].as_py()
-        t = t.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
+        t = t.sort_by([(c, "ascending") for c in ("doc_id", "n_tokens", "source", "cluster", "nth")])
         ids, n = t["doc_id"].to_pylist(), t["n_tokens"].to_pylist()
         whole, rest = [], []
         for i, size in enumerate(n):
@@ -109,7 +117,7 @@ def pack(sized: DataFrame, capacity: int = 8192, shard: int = 4000, per_source:
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return salted.groupBy("shard").applyInArrow(run, SCHEMA)
+    return dealt.groupBy("shard").applyInArrow(run, SCHEMA)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 8192, shard: int = 4000, per_source: int = 2, path: str | None = None) -> DataFrame:
