@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import drop_written, written
+from .common import drop_written, tidy, written
 from .jaccard import fixed_binary
 
 MOST_BROADCAST = 1_000_000
@@ -45,6 +45,7 @@ def valid(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
         return rows.select("vec_id", F.lit(None).cast("binary").alias("vec"))
     d = sizes["d"]
 
+    @tidy
     def run(batches):
         for b in batches:
             x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d) + 0.0
@@ -107,6 +108,7 @@ LISTS = "node long, ids binary, scores binary"
 def merged(df: DataFrame, most: int) -> DataFrame:
     """Lists of the same node become one."""
 
+    @tidy
     def run(batches):
         for t in by_key(batches, "node"):
             keys = t["node"].to_numpy()
@@ -134,6 +136,7 @@ def started(nodes: DataFrame, degree: int, trees: int, block: int, seed: int) ->
                 code = ((p[:, :12] > 0) << np.arange(12)).sum(axis=1).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("v16"), pa.array(code + 0.5 + np.arctan(p[:, 12].astype(float)) / np.pi)], ["node", "v16", "place"])
 
+        @tidy
         def compare(batches):
             held = None
             for b in [*batches, None]:
@@ -161,6 +164,7 @@ def started(nodes: DataFrame, degree: int, trees: int, block: int, seed: int) ->
 def pairs_of(graph: DataFrame) -> DataFrame:
     """(node, id, score) of each edge."""
 
+    @tidy
     def run(batches):
         for b in batches:
             size = np.array([len(x) for x in b.column("ids").to_pylist()], np.int64) // 8
@@ -183,6 +187,7 @@ def descended(nodes: DataFrame, graph: DataFrame, degree: int, best: int = 12) -
     bounds = pairs.groupBy("node").agg(F.min("score").alias("kth"), F.count("*").alias("n")).select("node", F.when(F.col("n") >= degree, F.col("kth")).otherwise(-1e30).cast("float").alias("kth"))
     with_vectors = members.join(nodes.join(bounds, "node", "left"), "node").select("pivot", "node", "kth", "v16")
 
+    @tidy
     def run(batches):
         for t in by_key(batches, "pivot"):
             pivots, ids = t["pivot"].to_numpy(), t["node"].to_numpy()
@@ -231,6 +236,7 @@ def adjacency(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
     with_vectors = both.join(nodes.select(F.col("node").alias("id"), "v16"), "id")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @tidy
     def run(batches):
         for t in by_key(batches, "node"):
             keys = t["node"].to_numpy()
@@ -245,7 +251,7 @@ def adjacency(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
 STATE = "query long, v16 binary, ids binary, scores binary, done binary, open array<long>"
 
 
-def searched(links: DataFrame, queries: DataFrame, entries: list[tuple[int, bytes]], beam: int = 256, expand: int = 32, ahead: int = 224, most_rounds: int = 16) -> DataFrame:
+def searched(links: DataFrame, queries: DataFrame, entries: list[tuple[int, bytes]], beam: int = 256, expand: int = 32, ahead: int = 224) -> DataFrame:
     """queries (query, v16, own): own is its node in the graph, or null. -> (query, ids): the beam, best first."""
     spark = queries.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -281,6 +287,7 @@ def searched(links: DataFrame, queries: DataFrame, entries: list[tuple[int, byte
                 rows.append(advance(q, v, ids, scores, np.zeros(len(ids), np.uint8)))
             yield as_batch(rows)
 
+    @tidy
     def step(batches):
         for t in by_key(batches, "query", 2000):
             starts = runs_of(t["query"].to_numpy())
@@ -301,7 +308,7 @@ def searched(links: DataFrame, queries: DataFrame, entries: list[tuple[int, byte
             yield as_batch(rows)
 
     state = written(queries.select("query", "v16", "own").mapInArrow(begin, STATE), "search")
-    for _ in range(most_rounds):
+    while True:  # each round expands nodes that were not expanded before, so it ends
         frontier = state.select("query", F.explode("open").alias("node"))
         open_nodes = state.agg(F.sum(F.size("open"))).first()[0] or 0
         if not open_nodes:
@@ -342,7 +349,7 @@ def nearest(vectors: DataFrame, query_ids, k: int = 20, id_column: str = "vec_id
     n, most = total[0] or 0, total[1] or 0.0
     if not n:
         return spark.createDataFrame([], schema)
-    degree = n - 1 if n <= 64 else degree
+    degree = min(degree, n - 1)
     scale = 1 / np.sqrt(most)
 
     def augmented(batches):
