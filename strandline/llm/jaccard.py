@@ -4,8 +4,9 @@
    Documents of equal sets are one node from here on; copies never meet in pairs.
 2. Nodes are linked to the least node of each of their buckets: a star, not all pairs. Components of these stars are the
    candidate groups; nodes that share any band are in one group.
-3. Only texts of nodes in a group of two or more are read again; their whole shingle sets go to their group. Groups above
-   `block` nodes are dealt out in blocks, and a task compares a block with another one.
+3. Only texts of nodes in a group of two or more are read again; their whole shingle sets go to their group. In groups above
+   `block` nodes each set is first compared with that of one centre: pairs whose differences from it add up to little are
+   certain links and only counted. What is left is dealt out in blocks, and a task compares a block with another one.
 4. A task takes the pairs that agree in any band, and counts common shingles by a matrix product over the shingles that
    two or more of its nodes hold. Pairs of Jaccard >= threshold are links. It returns a row per node: how many documents
    it is linked to, and the least node that it hangs together with. No pair leaves a task.
@@ -19,10 +20,13 @@ smallest only if a class has no other id; columns besides doc_id and text are ig
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import drop_written, mix64, pieces, string_array, tidy, unused, views, with_text, written
@@ -107,10 +111,11 @@ def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def links_of(nodes: list[bytes], copies: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def links_of(nodes: list[bytes], copies: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], f: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """(documents linked to each node, least node it hangs together with), for pairs of a left and a right node.
 
-    left and right are both all nodes, or two blocks apart. Work goes tile by tile; nothing is kept by pair."""
+    left and right are both all nodes, or two blocks apart. Pairs of f + f' <= 0 are certain and not counted here. Work goes
+    tile by tile; nothing is kept by pair."""
     n = len(nodes)
     sizes = np.array([len(s) for s in sets], np.int64)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
@@ -142,6 +147,7 @@ def links_of(nodes: list[bytes], copies: np.ndarray, bands: np.ndarray, sets: li
             near = np.zeros((len(rows), len(cols)), bool)
             for k in range(bands.shape[1]):
                 near |= bands[rows, k][:, None] == bands[cols, k][None, :]
+            near &= f[rows][:, None] + f[cols][None, :] > 0
             if same and i == j:
                 near = np.triu(near, 1)
             if not near.any():
@@ -160,7 +166,7 @@ def links_of(nodes: list[bytes], copies: np.ndarray, bands: np.ndarray, sets: li
 
 
 def compared(t: pa.Table, threshold: float, apart: bool) -> pa.RecordBatch:
-    """Of one task: rows (side, node, copies, bands, sets) -> node, linked, root. apart: sides 0 and 1 are two blocks."""
+    """Of one task: rows (side, node, copies, bands, f, sets) -> node, linked, root. apart: sides 0 and 1 are two blocks."""
     order = np.lexsort((np.array(t["node"].to_pylist(), object), np.asarray(t["side"])))
     t = t.take(pa.array(order))
     nodes, side = t["node"].to_pylist(), np.asarray(t["side"])
@@ -169,7 +175,7 @@ def compared(t: pa.Table, threshold: float, apart: bool) -> pa.RecordBatch:
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not apart:
         right = left
-    linked, label = links_of(nodes, np.asarray(t["copies"]), bands, sets, left, right, threshold)
+    linked, label = links_of(nodes, np.asarray(t["copies"]), bands, sets, np.asarray(t["f"]), left, right, threshold)
     return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(linked), pa.array([nodes[r] for r in label], pa.binary())], ["node", "linked", "root"])
 
 
@@ -180,7 +186,7 @@ def linked_nodes(docs: DataFrame, threshold: float, recall: float, width: int, s
     sig = written(signed(docs, bands, rows, width, seed), "signed")
     nodes = written(sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    leads = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
+    leads = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead", "n")
     stars = keys.join(leads, "key").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     found = written(components(stars), "groups")  # node, label
     grouped = nodes.join(found, "node")
@@ -192,27 +198,89 @@ def linked_nodes(docs: DataFrame, threshold: float, recall: float, width: int, s
         sets = sets.union(sets_of(texts.where("doc_id is null"), width).groupBy("node").agg(F.first("sets").alias("sets")))
     sets = sets.join(found, "node").groupBy("node").agg(F.first("sets").alias("sets"))
     blocks = found.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = grouped.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # block i of a group goes to the tasks (i, j) and (j, i), that are one: the lesser number comes first
-    tasks = placed.select("label", "node", "copies", "bands", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "label", "node", "copies", F.col("bands"), (F.col("blocks") > 1).alias("many"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
-    )
-    ready = tasks.join(sets, "node").select("label", "i", "j", "side", "node", "copies", F.expr("unhex(array_join(transform(bands, b -> lpad(hex(b), 16, '0')), ''))").alias("bands"), "sets", "many")
+    placed = grouped.join(blocks, "label").select("label", "node", "copies", "bands", "blocks")
+    many = blocks.where("blocks > 1").count()
+    packed_bands = F.expr("unhex(array_join(transform(bands, b -> lpad(hex(b), 16, '0')), ''))").alias("bands")
+    tasks = placed.where("blocks = 1").select("label", F.lit(0).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "copies", packed_bands, F.lit(1).cast("long").alias("f"))
+    near, sets_table = None, None
+    if many:
+        sets = sets_table = written(sets, "sets")
+        near = written(centred(placed.where("blocks > 1"), leads, found, sets, threshold), "near")
+        big = near.join(placed.where("blocks > 1").select("node", "bands"), "node").select("label", "node", "copies", packed_bands, "f")
+        tasks = tasks.unionByName(outer_tasks(big, near, many, block))
+    ready = tasks.join(sets, "node")
 
     def run(key, table):
         t = table if isinstance(table, pa.Table) else pa.Table.from_batches(list(table))
-        out = compared(t, threshold, key[1].as_py() != key[2].as_py())
-        return pa.Table.from_batches([out.append_column("many", pa.array([bool(t["many"][0].as_py())] * out.num_rows))])
-
-    judged = written(ready.groupBy("label", "i", "j").applyInArrow(run, "node binary, linked long, root binary, many boolean"), "judged")
-    spread = judged.where("many and node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    whole = components(spread) if spread.limit(1).count() else None
-    got = judged.groupBy("node").agg(F.sum("linked").alias("linked"), F.min(F.when(~F.col("many"), F.col("root"))).alias("root"))
-    if whole is not None:
-        got = got.join(whole.withColumnRenamed("label", "far"), "node", "left").withColumn("root", F.coalesce("far", "root")).drop("far")
-    known = nodes.join(got, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))
-    drop_written(docs.sparkSession, found)
-    return sig, known, [t for t in (sig, nodes, judged) if t is not None]
+        return pa.Table.from_batches([compared(t, threshold, key[1].as_py() == 1 or key[2].as_py() != key[3].as_py())])
+
+    judged = written(ready.groupBy("label", "kind", "i", "j").applyInArrow(run, "node binary, linked long, root binary"), "judged")
+    got = judged.groupBy("node").agg(F.sum("linked").alias("linked"), F.min("root").alias("root"))
+    if near is not None:
+        # what several tasks and the centres found is put together; groups of one task are whole already
+        across = judged.join(near.select("node"), "node", "left_semi").where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        certain = near.where("to_centre and node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+        whole = components(across.union(certain)).select("node", F.col("label").alias("far"))
+        sure = near.select("node", "sure").join(whole, "node", "left").withColumn("far", F.coalesce("far", "node"))
+        got = sure.join(got, "node", "full").select("node", (F.coalesce("linked", F.lit(0)) + F.coalesce("sure", F.lit(0))).alias("linked"), F.coalesce("far", "root").alias("root"))
+    known = written(nodes.join(got, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("linked", F.lit(0)).cast("long").alias("linked")), "known")
+    for table in (found, nodes, judged, near, sets_table):
+        if table is not None:
+            drop_written(docs.sparkSession, table)
+    return sig, known, [sig, known]
+
+
+def centred(placed: DataFrame, leads: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of the nodes of large groups: label, node, copies, centre, f, sure, to_centre.
+
+    The centre of a group is the lead of its fullest bucket. With d the size of the difference of a node's set from the
+    centre's, two nodes differ by d + d' at most, so they are certain to be linked where f + f' <= 0, with
+    f = (1 + t) d - (1 - t) size. sure counts the documents so linked to a node, from counts per distinct f: near copies of
+    one text are linked without a comparison of pairs."""
+    t = math.ceil(round(threshold * 1000, 6))
+    centres = leads.join(found.join(placed.select("label").distinct(), "label", "left_semi"), F.col("lead") == F.col("node")).groupBy("label").agg(F.max(F.struct("n", "lead"))["lead"].alias("centre"))
+    of_centre = centres.join(sets, F.col("centre") == F.col("node")).join(placed.groupBy("label").agg(F.first("blocks").alias("blocks")), "label").select("label", "centre", "sets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    dealt = placed.select("label", "node", "copies", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")).join(sets, "node")
+    rows = dealt.select("label", "own", F.lit(False).alias("is_centre"), "node", "copies", "sets").unionByName(of_centre.select("label", "own", F.lit(True).alias("is_centre"), F.col("centre").alias("node"), F.lit(0).cast("long").alias("copies"), "sets"))
+
+    def run(key, table):
+        is_centre = table["is_centre"].to_pylist()
+        k = is_centre.index(True)
+        centre = np.frombuffer(table["sets"][k].as_py(), np.uint64)
+        rest = [i for i, c in enumerate(is_centre) if not c]
+        f = []
+        for i in rest:
+            own = np.frombuffer(table["sets"][i].as_py(), np.uint64)
+            common = len(np.intersect1d(own, centre, assume_unique=True))
+            f.append((1000 + t) * (len(own) + len(centre) - 2 * common) - (1000 - t) * len(own))
+        took = table.take(pa.array(rest, pa.int64()))
+        return pa.table([pa.array([key[0].as_py()] * len(rest), pa.binary()), took["node"], took["copies"], pa.array([table["node"][k].as_py()] * len(rest), pa.binary()), pa.array(f, pa.int64()), pa.array([(1000 - t) * len(centre)] * len(rest), pa.int64())], names=["label", "node", "copies", "centre", "f", "reach"])
+
+    measured = written(rows.groupBy("label", "own").applyInArrow(run, "label binary, node binary, copies long, centre binary, f long, reach long"), "measured")
+    counts = measured.groupBy("label", "f").agg(F.sum("copies").alias("c"))  # a row for each distinct f
+    events = counts.select("label", F.col("f").alias("at"), F.lit(0).alias("asks"), "c", "f").union(counts.select("label", -F.col("f"), F.lit(1), F.lit(0).cast("long"), "f"))
+    upto = F.sum("c").over(W.partitionBy("label").orderBy("at", "asks").rowsBetween(W.unboundedPreceding, W.currentRow))
+    sure = events.withColumn("upto", upto).where("asks = 1").select("label", "f", "upto")
+    own = F.when(F.col("f") <= 0, F.col("copies")).otherwise(0)
+    return measured.join(sure, ["label", "f"]).select("label", "node", "copies", "centre", "f", (F.col("upto") - own).alias("sure"), (F.col("f") <= F.col("reach")).alias("to_centre"))
+
+
+def outer_tasks(big: DataFrame, near: DataFrame, many: int, block: int) -> DataFrame:
+    """The comparisons that are left of large groups, by blocks: nodes of f > 0 with each other (kind 0) and with those nodes of
+    f <= 0 that are not certain to be linked to all of them (kind 1)."""
+    limits = near.groupBy("label").agg(F.max("f").alias("far"), F.count_if(F.col("f") > 0).alias("n_outer"), F.count_if(F.col("f") <= 0).alias("n_inner")).where("n_outer > 0")
+    limits = limits.select("label", "far", F.ceil(F.col("n_outer") / block).cast("int").alias("outer"), F.greatest(F.lit(1), F.ceil(F.col("n_inner") / block)).cast("int").alias("inner"))
+    rows = big.join(F.broadcast(limits) if many <= MOST_BROADCAST else limits, "label")
+    number = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    keep = ["node", "copies", "bands", "f"]
+    outer = rows.where("f > 0").withColumn("own", number(F.col("outer")))
+    each = outer.select("label", *keep, "own", upto(F.col("outer")).alias("other"))
+    # block i goes to the tasks (i, j) and (j, i), that are one: the lesser number comes first
+    among = each.select("label", F.lit(0).alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), *keep)
+    first = outer.select("label", F.lit(1).alias("kind"), F.col("own").alias("i"), upto(F.col("inner")).alias("j"), F.lit(0).alias("side"), *keep)
+    second = rows.where("f <= 0 and f > -far").withColumn("own", number(F.col("inner"))).select("label", F.lit(1).alias("kind"), upto(F.col("outer")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *keep)
+    return among.unionByName(first).unionByName(second)
 
 
 def similarity_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, width: int = 5, seed: int = 11, block: int = 1000) -> DataFrame:
