@@ -148,15 +148,14 @@ class Aligner:
             target = told.value
             for batch in batches:
                 out = []
-                for id_, name, seq, qual, comment, rows in zip(*(batch.column(c).to_pylist() for c in ("id", "name", "seq", "qual", "comment", "regions"))):
-                    read = kernels.codes(seq or "")
+                for id_, seq, rows in zip(*(batch.column(c).to_pylist() for c in ("id", "seq", "regions"))):
                     regions, _ = assign_primaries(from_rows(rows), o, id_)
                     if o.primary5:
                         regions = leftmost_first(regions, o)
-                    out += [(id_, name, *r) for r in records.sam_rows(records.chosen(regions, read, target, o, 0), read, qual, comment, target, o)]
-                yield sam_batch(out)
+                    out.append((records.chosen(regions, kernels.codes(seq or ""), target, o), None))
+                yield shown_batch(target, out, [*(batch.column(c) for c in READ), pa.array([0] * len(out), pa.int32())])
 
-        return found.mapInArrow(run, SAM)
+        return records.sam_columns(found.mapInArrow(run, SHOWN), o)
 
     def statistics(self, found: DataFrame, half: int) -> DataFrame:
         """Insert sizes per chunk of paired regions (pair_id, chunk_id, regions1, regions2)."""
@@ -195,25 +194,28 @@ class Aligner:
         def run(batches):
             target = told.value
             for batch in batches:
-                out = []
+                out, columns = [], {c: [] for c in READ}
                 for row in batch.to_pylist():
-                    stats = fixed or [None] * 4
+                    stats = list(fixed or [None] * 4)
                     for s in row["stats"] or []:
                         if not s["failed"]:
                             stats[s["dir"]] = (s["low"], s["high"], s["avg"], s["std"])
-                    reads_ = [kernels.codes(row[f"seq{n}"]) for n in (1, 2)]
-                    got = pairs.paired_records([from_rows(row["regions1"]), from_rows(row["regions2"])], reads_, [row["qual1"], row["qual2"]], [row["comment1"], row["comment2"]], stats, target, o, row["pair_id"])
-                    for n in (0, 1):
-                        out += [(2 * row["pair_id"] + n, row["name1"], *r) for r in got[n]]
-                yield sam_batch(out)
+                    out += pairs.pair_hits([from_rows(row["regions1"]), from_rows(row["regions2"])], [kernels.codes(row[f"seq{n}"] or "") for n in (1, 2)], stats, target, o, row["pair_id"])
+                    for n in (1, 2):
+                        for c, x in (("id", 2 * row["pair_id"] + n - 1), ("name", row["name1"]), *((c, row[f"{c}{n}"]) for c in READ[2:])):
+                            columns[c].append(x)
+                kinds = {"id": pa.int64()}
+                yield shown_batch(target, out, [*(pa.array(columns[c], kinds.get(c, pa.string())) for c in READ), pa.array([1, 2] * (len(out) // 2), pa.int32())])
 
-        return both.mapInArrow(run, SAM)
+        return records.sam_columns(both.mapInArrow(run, SHOWN), o)
 
 
-SAM = "id long, name string, " + records.RECORD
+READ = ["id", "name", "seq", "qual", "comment"]
+SHOWN = "id long, name string, seq string, qual string, comment string, end int, " + records.shown_type()
 
 
-def sam_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
-    cols = list(zip(*rows)) or [()] * len(SAM.split(", "))
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(cols, SAM.split(", "))], [f.split()[0] for f in SAM.split(", ")])
+def shown_batch(target: Target, hits: list, columns: list) -> pa.RecordBatch:
+    """hits: (shown, mate) of each row; columns: READ and end."""
+    shown = pa.array([[a.row(target) for a in rows] for rows, _ in hits], pa.list_(records.HIT_TYPE))
+    mate = pa.array([m.row(target) if m is not None else None for _, m in hits], records.HIT_TYPE)
+    return pa.RecordBatch.from_arrays([*columns, shown, mate], [*READ, "end", "shown", "mate"])

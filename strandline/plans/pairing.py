@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import bases, sam
+from ..functions import bases, sam, scores
 from ..operators import align, index, pairs
 from .relational import READS, TARGETS, long, reads, table, targets
 
@@ -32,7 +32,7 @@ def directions(spark, d):
     b1 = (F.col("l_partkey") * 7919) % HALF
     far = b1 + F.col("l_quantity").cast("long") * 10
     ends = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", b1.alias("b1"), F.when(F.col("l_suppkey") % 8 == 0, far).otherwise(2 * HALF - 1 - far).alias("b2"))
-    way, dist = pairs.orientation_columns(F.lit(HALF), F.col("b1"), F.col("b2"))
+    way, dist = scores.orientation(F.lit(HALF), F.col("b1"), F.col("b2"))
     return ends.select("l_orderkey", "l_linenumber", way.alias("dir"), dist.alias("dist"))
 
 
