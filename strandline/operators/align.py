@@ -5,7 +5,7 @@ reads need one exchange more: insert sizes per chunk."""
 
 from __future__ import annotations
 
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import normal, trim_read_number
 from ..options import Options
 from . import index, kernels, pairs, records, seeds
-from .hits import Region, Runs, Target, assign_primaries, leftmost_first, regions_of
+from .hits import Region, Runs, Target, assign_primaries, build_chains, filter_chains, leftmost_first, positions_of, regions_of, repetitive, rounds_of, seeds_of
 
 REGION = "tb long, te long, qb int, qe int, rid int, score int, true_score int, csub int, band int, covered int, seed_size int, n_comp int, alt boolean, rep double"
 FIELDS = [f.split()[0] for f in REGION.split(", ")]
@@ -75,17 +75,27 @@ def chunked(reads: DataFrame, chunk_bases: int) -> DataFrame:
 
 
 def smart_pairs(reads: DataFrame) -> DataFrame:
-    """reads (ordinal, name, ...) -> pair_id, end (1, 2, or 0 for a single read).
+    """reads (ordinal, name, ...) -> pair_id, end (1, 2, or 0 for a single read). Ordinals are whole numbers without gaps.
 
     Neighbours of equal names pair from left to right: within a run of equal names by parity. Runs are found per block of
-    ordinals and the block before, so a run is cut only where it is longer than a block."""
-    w = W.orderBy("ordinal")
-    named = reads.withColumn("_key", trim_read_number(F.col("name")))
-    start = named.withColumn("_new", F.when(F.lag("_key").over(w).eqNullSafe(F.col("_key")), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    run = W.partitionBy("_run")
-    placed = start.withColumn("_k", F.row_number().over(run.orderBy("ordinal")) - 1).withColumn("_n", F.count("*").over(run))
+    ordinals; of each block only its last name and its first and last run start are ordered in one place."""
+    inner = W.partitionBy("_block").orderBy("ordinal")
+    named = reads.withColumn("_key", trim_read_number(F.col("name"))).withColumn("_block", F.floor(F.col("ordinal") / BLOCK))
+    ends = named.groupBy("_block").agg(F.max_by(F.struct("_key"), "ordinal")["_key"].alias("_last"), F.lit(True).alias("_is"))
+    before = ends.select((F.col("_block") + 1).alias("_block"), "_last", "_is")
+    near = named.join(F.broadcast(before), "_block", "left")  # a row per block
+    head = F.row_number().over(inner) == 1
+    same = F.when(head, F.coalesce("_is", F.lit(False)) & F.col("_last").eqNullSafe(F.col("_key"))).otherwise(F.lag("_key").over(inner).eqNullSafe(F.col("_key")))
+    start = near.withColumn("_start", F.when(~same, F.col("ordinal"))).drop("_last", "_is")
+    blocks = start.groupBy("_block").agg(F.min("_start").alias("_s"), F.max("_start").alias("_e"), F.max("ordinal").alias("_o"))
+    over = W.orderBy("_block")
+    bounds = blocks.select("_block", F.max("_e").over(over.rowsBetween(W.unboundedPreceding, -1)).alias("_from"), F.min("_s").over(over.rowsBetween(1, W.unboundedFollowing)).alias("_to"), (F.max("_o").over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) + 1).alias("_all"))
+    placed = start.join(F.broadcast(bounds), "_block")
+    first = F.coalesce(F.max("_start").over(inner.rowsBetween(W.unboundedPreceding, W.currentRow)), F.col("_from"))
+    stop = F.coalesce(F.min("_start").over(inner.rowsBetween(1, W.unboundedFollowing)), F.col("_to"), F.col("_all"))
+    placed = placed.withColumn("_k", F.col("ordinal") - first).withColumn("_n", stop - first)
     paired = F.col("_k") < F.col("_n") - F.col("_n") % 2
-    return placed.withColumn("end", F.when(paired, F.col("_k") % 2 + 1).otherwise(0).cast("int")).withColumn("pair_id", F.when(paired, F.col("ordinal") - F.col("_k") % 2).otherwise(F.col("ordinal"))).drop("_key", "_new", "_run", "_k", "_n")
+    return placed.withColumn("end", F.when(paired, F.col("_k") % 2 + 1).otherwise(0).cast("int")).withColumn("pair_id", F.when(paired, F.col("ordinal") - F.col("_k") % 2).otherwise(F.col("ordinal"))).drop("_key", "_block", "_start", "_from", "_to", "_all", "_k", "_n")
 
 
 def as_rows(regions: list[Region]) -> list[dict]:
@@ -97,11 +107,14 @@ def from_rows(rows) -> list[Region]:
 
 
 class Aligner:
-    """align(reads, targets): reads (id, name, seq, and if present comment, qual), targets (rid, name, seq, is_alt)."""
+    """align(reads, targets): reads (id, name, seq, and if present comment, qual), targets (rid, name, seq, is_alt).
+
+    run() takes reads in the order of a file (ordinal instead of id): single ones, or with the option interleaved a mix of
+    single reads and neighbours of equal names, which are mates."""
 
     def __init__(self, options: Options | None = None, kmers: DataFrame | None = None, **given):
         """kmers: the k-mer table of the targets, if index.save() wrote it; else it is made."""
-        self.o = (options or Options()).scaled(**given) if given else options or Options()
+        self.o = options if options and not given else replace(options, **given) if options else Options.of(**given)
         self.kmers = kmers
 
     def matches(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
@@ -110,6 +123,49 @@ class Aligner:
         runs = seeds.match_runs(seeds.seed_join(source, index.sized(self.kmers if self.kmers is not None else index.doubled_kmers(targets, self.o.min_seed), targets), self.o.min_seed), self.o.min_seed)
         return runs.groupBy("read_id").agg(F.collect_list(F.struct(F.col("b").cast("int").alias("b"), F.col("e").cast("int").alias("e"), F.col("pos").cast("long").alias("pos"))).alias("runs")).withColumnRenamed("read_id", "id")
 
+    def per_read(self, reads: DataFrame, targets: DataFrame, work, schema: str) -> DataFrame:
+        """id, and a row of `schema` for each that work(runs, read, target, o) gives of a read."""
+        targets = with_substitutes(targets)
+        told = reads.sparkSession.sparkContext.broadcast(collected(targets, self.o))
+        o, names = self.o, [f.split()[0] for f in schema.split(", ")]
+        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+        types = [kinds[f.split()[1]] for f in schema.split(", ")]
+
+        def run(batches):
+            for batch in batches:
+                ids, rows = [], []
+                for id_, seq, found in zip(*(batch.column(c).to_pylist() for c in ("id", "seq", "runs"))):
+                    if seq:
+                        got = list(work(Runs.of(found or [], o.min_seed), kernels.codes(seq), told.value, o))
+                        ids += [id_] * len(got)
+                        rows += got
+                cols = list(zip(*rows)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types))], ["id", *names])
+
+        return reads.select("id", "seq").join(self.matches(reads, targets), "id", "left").select("id", "seq", "runs").mapInArrow(run, f"id long, {schema}")
+
+    def seeds(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
+        """id, round (1 to 3), b, e, occ of the seeds of each read."""
+        return self.per_read(reads, targets, lambda runs, read, target, o: [(k + 1, *s) for k, found in enumerate(rounds_of(runs, read, o)) for s in found], "round int, b int, e int, occ long")
+
+    def seed_positions(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
+        """id, b, e, pos: the occurrences of each seed that chains are built from."""
+        return self.per_read(reads, targets, lambda runs, read, target, o: [(b, e, t) for b, e in sorted({s[:2] for s in seeds_of(runs, read, o)}) for t in positions_of(b, e, runs, target, o)], "b int, e int, pos long")
+
+    def repetition(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
+        """id, covered: bases under seeds above max_occ, of every read that has a base."""
+        return self.per_read(reads, targets, lambda runs, read, target, o: [(repetitive(seeds_of(runs, read, o), o),)], "covered long")
+
+    def chains(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
+        """id, chain, rid, weight, kept (0: filtered), b, e, n_seeds of the chains of each read, in target order."""
+
+        def work(runs, read, target, o):
+            found = build_chains(seeds_of(runs, read, o), runs, len(read), target, o)
+            filter_chains(found, target, o)
+            return [(i, c.rid, c.weight, c.kept, *c.span, len(c.seeds)) for i, c in enumerate(found)]
+
+        return self.per_read(reads, targets, work, "chain int, rid int, weight int, kept int, b int, e int, n_seeds int")
+
     def regions(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
         """The columns of reads, and their hits before ranking."""
         targets = with_substitutes(targets)
@@ -126,9 +182,7 @@ class Aligner:
                     if not found or not seq:
                         out.append([])
                         continue
-                    b, e, t = (np.array([r[f] for r in found], np.int64) for f in ("b", "e", "pos"))
-                    order = np.lexsort((t, e, b))
-                    out.append(as_rows(regions_of(Runs(b[order], e[order], t[order], k), kernels.codes(seq), target, o)))
+                    out.append(as_rows(regions_of(Runs.of(found, k), kernels.codes(seq), target, o)))
                 kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
                 kind = pa.list_(pa.struct([(f.split()[0], kinds[f.split()[1]]) for f in REGION.split(", ")]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, kind)], [*keep, "regions"])
@@ -157,6 +211,15 @@ class Aligner:
 
         return records.sam_columns(found.mapInArrow(run, SHOWN), o)
 
+    def run(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
+        """Records of reads (ordinal, name, seq, ...) as a file has them; ids are twice the ordinal of a read or of the first mate,
+        and one more for the second mate."""
+        if not self.o.interleaved:
+            return self.align(reads.withColumn("id", F.col("ordinal") * 2).drop("ordinal"), targets)
+        told = smart_pairs(reads).withColumn("id", 2 * F.col("pair_id") + F.when(F.col("end") == 2, 1).otherwise(0))
+        mates, single = (told.where(c).drop("ordinal", "pair_id", "end") for c in ("end > 0", "end = 0"))
+        return self.align_pairs(mates, targets).unionByName(self.align(single, targets))
+
     def statistics(self, found: DataFrame, half: int) -> DataFrame:
         """Insert sizes per chunk of paired regions (pair_id, chunk_id, regions1, regions2)."""
         o = self.o

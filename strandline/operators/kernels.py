@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 NEG = -(1 << 28)
 
@@ -24,16 +24,21 @@ def mix(key: np.ndarray) -> np.ndarray:
 
 
 def mixed_column(key: Column) -> Column:
-    """mix() of a long column, in decimal."""
-    from pyspark.sql.functions import pandas_udf
+    """mix() of a long column, in decimal, of built-in functions: sums go by halves of 32 bits, so that none overflows."""
+    low = F.lit((1 << 32) - 1)
 
-    @pandas_udf("string")
-    def run(s):
-        import pandas as pd
+    def added(a: Column, b: Column) -> Column:
+        s = a.bitwiseAND(low) + b.bitwiseAND(low)
+        t = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(s, 32)
+        return F.shiftleft(t, 32).bitwiseOR(s.bitwiseAND(low))
 
-        return pd.Series(mix(s.to_numpy()).astype(str))
-
-    return run(key)
+    # each step is a name of its own: it is used twice
+    steps = [lambda x: added(x, F.bitwise_not(F.shiftleft(x, 32))), lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 22)), lambda x: added(x, F.bitwise_not(F.shiftleft(x, 13))), lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 8)), lambda x: added(x, F.shiftleft(x, 3)), lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 15)), lambda x: added(x, F.bitwise_not(F.shiftleft(x, 27))), lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 31))]
+    states = F.array(key.cast("long"))
+    for step in steps:
+        states = F.transform(states, step)
+    x = F.get(states, F.lit(0))
+    return F.when(x >= 0, x.cast("string")).otherwise((x.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).cast("string"))
 
 
 def codes(seq: str | bytes) -> np.ndarray:

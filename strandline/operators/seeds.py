@@ -1,13 +1,12 @@
 """Maximal exact matches by k-mer equi-join and gaps-and-islands.
 
-A run (b, e, pos) says that query [b, e) equals the target from pos on and cannot be made longer. With E_t(b) the t-th
-largest end among runs that start at or before b and cover at least k bases from b on, the seeds that occur t times or
-more are the (b, E_t(b)) with E_t(b) > E_t(b - 1).
+A run (b, e, pos) says that query [b, e) equals the target from pos on and cannot be made longer. The seeds of a read follow
+from its runs alone (hits.Runs).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,42 +27,6 @@ def match_runs(seeds: DataFrame, k: int) -> DataFrame:
     return islands.groupBy("read_id", "diag", "island").agg(F.min("q").alias("b"), (F.max("q") + k).alias("e")).select("read_id", "b", "e", (F.col("diag") + F.col("b")).alias("pos"))
 
 
-def with_occurrences(seeds: DataFrame, runs: DataFrame) -> DataFrame:
-    """Adds occ: the runs that contain [b, e)."""
-    r = runs.select("read_id", F.col("b").alias("rb"), F.col("e").alias("re"))
-    return seeds.join(r, "read_id").where("rb <= b and re >= e").groupBy(*seeds.columns).agg(F.count("*").alias("occ"))
-
-
-def round1(runs: DataFrame) -> DataFrame:
-    """read_id, b, e, occ of the runs that no other run contains on the query."""
-    w = W.partitionBy("read_id").orderBy("b", F.desc("e")).rowsBetween(W.unboundedPreceding, -1)
-    spans = runs.select("read_id", "b", "e").distinct()
-    top = spans.withColumn("before", F.max("e").over(w)).where("before is null or e > before").drop("before")
-    return with_occurrences(top, runs)
-
-
-def kth_ends(runs: DataFrame, starts: DataFrame, k: int, times: Column) -> DataFrame:
-    """starts (read_id, seed, b, t) -> with e: the t-th largest end of runs at or before b with e - b >= k, 0 if there
-    are fewer."""
-    r = runs.select("read_id", F.col("b").alias("rb"), F.col("e").alias("re"))
-    joined = starts.join(r, "read_id").where((F.col("rb") <= F.col("b")) & (F.col("re") - F.col("b") >= k))
-    ranked = joined.withColumn("n", F.row_number().over(W.partitionBy("read_id", "seed", "b").orderBy(F.desc("re")))).where(F.col("n") == times)
-    return starts.join(ranked.select("read_id", "seed", "b", F.col("re").alias("e")), ["read_id", "seed", "b"], "left").fillna(0, ["e"])
-
-
-def round2(first: DataFrame, runs: DataFrame, k: int, split_factor: float, split_width: int) -> DataFrame:
-    """Seeds through the middle of long rare seeds that occur more often than those: read_id, b, e, occ."""
-    long_ = int(k * split_factor + 0.499)
-    chosen = first.where((F.col("e") - F.col("b") >= long_) & (F.col("occ") <= split_width)).select("read_id", F.struct("b", "e").alias("seed"), F.expr("(b + e) div 2").cast("int").alias("mid"), (F.col("occ") + 1).alias("t"))
-    # E_t changes only where a run starts or one falls under k bases; all starts up to the middle are tried
-    starts = chosen.select("*", F.explode(F.sequence(F.lit(-1), F.col("mid"))).alias("b"))
-    ends = kth_ends(runs, starts, k, F.col("t"))
-    w = W.partitionBy("read_id", "seed").orderBy("b")
-    seeds = ends.withColumn("before", F.lag("e").over(w)).where("b >= 0 and e > before and e > mid").select("read_id", "seed", "b", "e")
-    counted = with_occurrences(seeds.withColumnRenamed("seed", "parent"), runs)
-    return counted.select("read_id", "b", "e", "occ")
-
-
 def occurrence_sample(hits: DataFrame, keys: list[str], order: str, max_occ: int) -> DataFrame:
     """Of each seed every occurrence, or max_occ of them at equal strides in the order given: adds occ and rank."""
     w = W.partitionBy(*keys)

@@ -52,7 +52,7 @@ class Options:
     read_group: str | None = None  # -R
     header: tuple[str, ...] = ()  # -H
     insert_stats: tuple[float, ...] | None = None  # -I
-    preset: str | None = field(default=None)  # -x
+    preset: str | None = field(default=None)  # -x; Options.of fills in its values
 
     @property
     def mapq_factor(self) -> int:
@@ -64,6 +64,19 @@ class Options:
         """Scores of two bases; an ambiguous one costs 1 against all."""
         return [[self.match if i == j else -self.mismatch for j in range(4)] + [-1] for i in range(4)] + [[-1] * 5]
 
+    @classmethod
+    def of(cls, preset: str | None = None, **given) -> Options:
+        """Options as a command line gives them: the values of a read type, if one is named, under what is given; else a match
+        score above 1 scales the scores that are not given. A read group is named by its header line, which joins the header."""
+        if line := given.pop("read_group_line", None):
+            from .functions.sam import read_group
+
+            text, given["read_group"] = read_group(line)
+            given["header"] = (*given.get("header", ()), text)
+        if preset is not None:
+            return cls(preset=preset, **(PRESETS[preset] | given))
+        return cls().scaled(**given)
+
     def scaled(self, **given) -> Options:
         """With a match score above 1 the other scores grow with it, unless they are given."""
         names = ("mismatch", "min_score", "open_del", "open_ins", "ext_del", "ext_ins", "zdrop", "clip5", "clip3", "unpaired")
@@ -82,4 +95,4 @@ PRESETS["pbref"] = PRESETS["pacbio"]
 
 def preset(name: str, **given) -> Options:
     """Options of a read type; what is given holds over it, and nothing is scaled."""
-    return Options(preset=name, **(PRESETS[name] | given))
+    return Options.of(name, **given)

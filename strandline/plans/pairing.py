@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bases, sam, scores
-from ..operators import align, index, pairs
+from ..operators import align, index, kernels, pairs, records
+from ..operators.hits import Region
+from ..options import Options
 from .relational import READS, TARGETS, long, reads, table, targets
 
 QUERIES: dict = {}
@@ -95,30 +98,6 @@ def cigar_lengths(spark, d):
     return long(c.select("l_orderkey", "l_linenumber", *[sam.length_of(F.col("cigar"), ops).alias(n) for ops, n in (("MD", "target_len"), ("MIS", "seq_len"), ("MISH", "read_len"))]))
 
 
-MD = """with p as (select item_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'CGTACGTACGTACGTACGTACGTACG') as t from benchmark), q as (select item_id, substr(t, 1, 80) as t, translate(substr(t, 1, 40), 'A', 'C') || substr(t, 41, 40) as s from p),
-x as (select item_id, unnest(range(1, length(t) + 1)) as i, t, s from q), m as (select item_id, i, substr(t, i, 1) as b, substr(t, i, 1) <> substr(s, i, 1) as diff, length(t) as n from x),
-k as (select item_id, i, b, n, i - coalesce(lag(i) over (partition by item_id order by i), 0) - 1 as run, lead(i) over (partition by item_id order by i) is null as last from m where diff),
-g as (select item_id, string_agg(run || b, '' order by i) as head, max(n) - max(i) as tail, count(*) as nm from k group by item_id)
-select q.item_id, coalesce(head || tail, cast(length(t) as varchar)) as md, coalesce(nm, 0) as nm from q left join g using (item_id)"""
-
-
-def md_of(q):
-    """q (item_id, t, s): MD and NM of s without gaps on t, runs of equal bases between differences."""
-    x = q.select("item_id", F.length("t").alias("n"), F.posexplode(F.arrays_zip(F.split("t", "").alias("b"), F.split("s", "").alias("c"))).alias("i", "z"))
-    w = W.partitionBy("item_id").orderBy("i")
-    k = x.where("z.b != z.c").withColumn("run", F.col("i") - F.coalesce(F.lag("i").over(w), F.lit(-1)) - 1)
-    g = k.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "run", "z.b"))), lambda e: F.concat(e["run"].cast("string"), e["b"])), "").alias("head"), (F.max("n") - 1 - F.max("i")).alias("tail"), F.count("*").alias("nm"))
-    out = q.join(g, "item_id", "left")
-    return out.select("item_id", F.coalesce(F.concat("head", F.col("tail").cast("string")), F.length("t").cast("string")).alias("md"), F.coalesce("nm", F.lit(0)).cast("long").alias("nm"))
-
-
-@query(MD)
-def md_tag(spark, d):
-    """MD and NM of the first 80 bases of each item, as its SQL has it; md_tag_whole takes whole items."""
-    t = F.substring(bases.from_text(F.col("text")), 1, 80)
-    return md_of(table(spark, d, "benchmark").select("item_id", t.alias("t")).withColumn("s", F.concat(F.translate(F.substring("t", 1, 40), "A", "C"), F.substring("t", 41, 40))))
-
-
 MD_WHOLE = """with q as (select item_id, t, translate(t, 'A', 'C') as s from (select item_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'CGTACGTACGTACGTACGTACGTACG') as t from benchmark)),
 x as (select item_id, unnest(range(1, length(t) + 1)) as i, t, s from q), m as (select item_id, i, substr(t, i, 1) as b, substr(t, i, 1) <> substr(s, i, 1) as diff, length(t) as n from x),
 k as (select item_id, i, b, n, i - coalesce(lag(i) over (partition by item_id order by i), 0) - 1 as run from m where diff),
@@ -128,8 +107,15 @@ select q.item_id, coalesce(head || tail, cast(length(t) as varchar)) as md, coal
 
 @query(MD_WHOLE)
 def md_tag_whole(spark, d):
-    """MD and NM of whole items, with differences over all their length."""
-    return md_of(table(spark, d, "benchmark").select("item_id", bases.from_text(F.col("text")).alias("t")).withColumn("s", F.translate("t", "A", "C")))
+    """MD and NM of whole items, with differences over all their length, by the kernel that records are made with."""
+    q = table(spark, d, "benchmark").select("item_id", bases.from_text(F.col("text")).alias("t")).withColumn("s", F.translate("t", "A", "C"))
+
+    def run(batches):
+        for batch in batches:
+            got = [kernels.edits(kernels.codes(s), kernels.codes(t), [("M", len(t))]) for t, s in zip(batch.column("t").to_pylist(), batch.column("s").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([md for _, md in got], pa.string()), pa.array([nm for nm, _ in got], pa.int64())], ["item_id", "md", "nm"])
+
+    return q.mapInArrow(run, "item_id long, md string, nm long")
 
 
 @query("select o_orderkey, (o_custkey * 37) % 4096 as flag, ((o_custkey * 37) % 4096 & 4) <> 0 as unmapped, ((o_custkey * 37) % 4096 & 16) <> 0 as is_rev, ((o_custkey * 37) % 4096 & 256) <> 0 as secondary, ((o_custkey * 37) % 4096 & 2048) <> 0 as supplementary from orders")
@@ -164,30 +150,30 @@ def families(spark, d):
 
 @query(f"with {FAMILIES} select read_id, count(*) as n, string_agg('c' || hit % 7 || ',+' || hit || ',50M,' || score % 5 || ';', '' order by rank) as xa from f join p using (read_id) where rank > 1 and score >= 0.8 * best group by read_id having count(*) <= 5")
 def xa_tags(spark, d):
-    """Alternative hits of nearly the best score, of reads with at most five of them."""
-    f = families(spark, d).where("rank > 1 and score >= 0.8 * best")
+    """Alternative hits of nearly the best score, of reads with at most five of them, as records choose them."""
     text = F.concat(F.lit("c"), (F.col("hit") % 7).cast("string"), F.lit(",+"), F.col("hit").cast("string"), F.lit(",50M,"), (F.col("score") % 5).cast("string"), F.lit(";"))
-    g = f.groupBy("read_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x["t"]), "").alias("xa"))
-    return g.where("n <= 5")
+    g = families(spark, d).where("read_id is not null").groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("score").cast("long").alias("score"), text.alias("t")))).alias("hits"))
+    o = Options()
 
+    def run(batches):
+        for batch in batches:
+            out = []
+            for id_, hits in zip(batch.column("read_id").to_pylist(), batch.column("hits").to_pylist()):
+                regions = [Region(score=h["score"], secondary_all=0 if i else -1) for i, h in enumerate(hits)]
+                out += [(id_, len(few), "".join(hits[i]["t"] for i in few)) for few in records.families(regions, o).values()]
+            cols = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()))], ["read_id", "n", "xa"])
 
-@query(f"with {FAMILIES}, t as (select * from f where rank <= 3) select a.read_id, a.hit, string_agg('c' || b.hit % 7 || ',' || b.hit || ',+,50M,' || b.score || ';', '' order by b.rank) as sa from t a join t b on a.read_id = b.read_id and a.hit <> b.hit group by a.read_id, a.hit")
-def sa_tags(spark, d):
-    """Of each of a read's first three hits the other ones, as its SQL has it; sa_tags_all takes all hits."""
-    t = families(spark, d).where("rank <= 3").select("read_id", "hit", "score", "rank")
-    o = t.select("read_id", F.col("hit").alias("other"), F.col("score").alias("s"), F.col("rank").alias("r"))
-    text = F.concat(F.lit("c"), (F.col("other") % 7).cast("string"), F.lit(","), F.col("other").cast("string"), F.lit(",+,50M,"), F.col("s").cast("string"), F.lit(";"))
-    j = t.join(o, "read_id").where("hit != other")
-    return j.groupBy("read_id", "hit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", text.alias("t")))), lambda x: x["t"]), "").alias("sa"))
+    return g.mapInArrow(run, "read_id long, n long, xa string")
 
 
 @query(f"with {FAMILIES} select a.read_id, a.hit, string_agg('c' || b.hit % 7 || ',' || b.hit || ',+,50M,' || b.score || ';', '' order by b.rank) as sa from f a join f b on a.read_id = b.read_id and a.hit <> b.hit group by a.read_id, a.hit")
 def sa_tags_all(spark, d):
     """Of each hit of a read all other ones: an array per read, which every hit takes without its own entry."""
     text = F.concat(F.lit("c"), (F.col("hit") % 7).cast("string"), F.lit(","), F.col("hit").cast("string"), F.lit(",+,50M,"), F.col("score").cast("string"), F.lit(";"))
-    found = families(spark, d).where("read_id is not null").groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("rank", "hit", text.alias("t")))).alias("all")).where("size(all) > 1")
-    own = found.select("read_id", "all", F.explode("all.hit").alias("hit"))
-    return own.select("read_id", "hit", F.array_join(F.transform(F.filter("all", lambda x: x["hit"] != F.col("hit")), lambda x: x["t"]), "").alias("sa"))
+    found = families(spark, d).where("read_id is not null").groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("rank", "hit", text.alias("t"), F.lit(False).alias("secondary")))).alias("all")).where("size(all) > 1")
+    own = found.select("read_id", "all", F.posexplode("all.hit").alias("which", "hit"))
+    return own.select("read_id", "hit", F.array_join(F.transform(records.others(F.col("all"), F.col("which")), lambda x: x["t"]), "").alias("sa"))
 
 
 @query("select conv_id, turn, regexp_replace(role || conv_id || '/' || (turn % 12), '(.)/[0-9]$', '\\1') as name from conversations")
@@ -232,6 +218,29 @@ def mates(spark, d, size=150):
     return one.unionByName(two)
 
 
+@query(None)
+def chains(spark, d):
+    """Chains of the seeds of stretches of the documents, with what the filter makes of them."""
+    return long(align.Aligner().chains(windows(spark, d), targets(spark, d)))
+
+
+@query(None)
+def extensions(spark, d):
+    """Extensions, from an anchor of score 20, of each part's name along itself with two bases left out, followed by its reverse."""
+    p = table(spark, d, "part").select("p_partkey", bases.from_text(F.col("p_name")).alias("q")).withColumn("t", F.concat(F.substring("q", 1, 6), F.substring("q", 9, 400), F.reverse("q")))
+    o = Options()
+
+    def run(batches):
+        import numpy as np
+
+        mat = np.array(o.matrix)
+        for batch in batches:
+            got = [kernels.extend(kernels.codes(q), kernels.codes(t), mat, o, o.band, o.clip3, 20) for q, t in zip(batch.column("q").to_pylist(), batch.column("t").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("p_partkey"), *(pa.array([g[i] for g in got], pa.int64()) for i in range(6))], ["p_partkey", "score", "qle", "tle", "gtle", "gscore", "max_off"])
+
+    return p.where("q != ''").mapInArrow(run, "p_partkey long, score long, qle long, tle long, gtle long, gscore long, max_off long")
+
+
 @query(None)
 def regions(spark, d):
     """Hits of stretches of the documents on the benchmark items, before ranking."""

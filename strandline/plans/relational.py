@@ -4,12 +4,14 @@ Targets are the items of `benchmark`, reads the texts of `documents`, both as ba
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bases, scores
-from ..operators import index, seeds
+from ..operators import hits, index, seeds
+from ..operators.align import Aligner
 from ..options import Options
 
 K = 19
@@ -182,9 +184,15 @@ def match_runs(spark, d):
     return long(runs_of(spark, d))
 
 
+def seeds_by_round(spark, d, number):
+    """The aligner's seeds of one round."""
+    found = Aligner().seeds(reads(spark, d).withColumnRenamed("read_id", "id"), targets(spark, d))
+    return long(found.where(F.col("round") == number).select(F.col("id").alias("read_id"), "b", "e", "occ"))
+
+
 @query(f"with {FIRST} select * from first")
 def smem_round1(spark, d):
-    return long(seeds.round1(runs_of(spark, d)))
+    return seeds_by_round(spark, d, 1)
 
 
 @query(f"""with {FIRST}, ch as (select read_id, b as sb, e as se, (b + e) // 2 as mid, occ + 1 as t from first where e - b >= 28 and occ <= 10),
@@ -194,18 +202,65 @@ en as (select st.*, coalesce(rk.re, 0) as e from st left join rk on rk.read_id =
 sd as (select read_id, sb, se, b, e from (select *, lag(e) over (partition by read_id, sb, se order by b) as before from en) where b >= 0 and e > before and e > mid)
 select s.read_id, s.b, s.e, count(*) as occ from sd s join runs r on r.read_id = s.read_id and r.b <= s.b and r.e >= s.e group by s.read_id, s.sb, s.se, s.b, s.e""")
 def reseed_round2(spark, d):
-    runs = runs_of(spark, d)
-    return long(seeds.round2(seeds.round1(runs), runs, K, O.split_factor, O.split_width))
+    return seeds_by_round(spark, d, 2)
+
+
+# short seeds of the items on themselves: many occur several times, so all rounds have rows
+SHORT, LONG, CAP, MEM = 9, 14, 2, 3
+SMALL = Options(min_seed=SHORT, max_mem_intv=MEM, max_occ=CAP)
+ITEMS = FIRST.replace(READS, "reads as (select rid as read_id, seq from targets)").replace(str(K), str(SHORT))
+CHOSEN = f"""ch as (select read_id, b as sb, e as se, (b + e) // 2 as mid, occ + 1 as t from first where e - b >= {LONG} and occ <= 10),
+st as (select *, unnest(range(-1, mid + 1)) as b from ch),
+rk as (select st.*, r.e as re, row_number() over (partition by st.read_id, sb, se, st.b order by r.e desc) as n from st join runs r on r.read_id = st.read_id and r.b <= st.b and r.e - st.b >= {SHORT}),
+en as (select st.*, coalesce(rk.re, 0) as e from st left join rk on rk.read_id = st.read_id and rk.sb = st.sb and rk.se = st.se and rk.b = st.b and rk.n = st.t),
+sd as (select read_id, sb, se, b, e from (select *, lag(e) over (partition by read_id, sb, se order by b) as before from en) where b >= 0 and e > before and e > mid),
+second as (select s.read_id, s.sb, s.se, s.b, s.e, count(*) as occ from sd s join runs r on r.read_id = s.read_id and r.b <= s.b and r.e >= s.e group by all)"""
+STEPS = f"""xs as (select read_id, length(seq) as size, unnest(range(0, length(seq))) as x from reads),
+near as (select xs.read_id, xs.x, r.e, row_number() over (partition by xs.read_id, xs.x order by r.e desc) as n from xs join runs r on r.read_id = xs.read_id and r.b <= xs.x and r.e - xs.x >= {SHORT}),
+step as (select xs.read_id, xs.x, size, greatest(x + {SHORT} + 1, coalesce(max(e) filter (n = {MEM}), 0) + 1) as e, coalesce(max(e) filter (n = 1), 0) as far from xs left join near using (read_id, x) group by xs.read_id, xs.x, size),
+walk(read_id, x, e, far) as (select read_id, x, e, far from step where x = 0 and e <= size union all select s.read_id, s.x, s.e, s.far from walk w join step s on s.read_id = w.read_id and s.x = w.e where s.e <= s.size),
+third as (select w.read_id, w.x as b, w.e, count(*) as occ from walk w join runs r on r.read_id = w.read_id and r.b <= w.x and r.e >= w.e where w.e <= w.far group by all)"""
+
+
+def item_reads(spark, d):
+    return targets(spark, d).select(F.col("rid").alias("id"), "name", "seq")
+
+
+def short_seeds(spark, d, number):
+    found = Aligner(SMALL).seeds(item_reads(spark, d), targets(spark, d))
+    return long(found.where(F.col("round") == number).select(F.col("id").alias("read_id"), "b", "e", "occ"))
+
+
+@query(f"with {ITEMS}, {CHOSEN} select read_id, b, e, occ from second")
+def reseed_items(spark, d):
+    """Seeds through the middle of long rare ones, of the items on themselves."""
+    return short_seeds(spark, d, 2)
+
+
+@query(f"with recursive {ITEMS}, {STEPS} select read_id, b, e, occ from third")
+def third_round_items(spark, d):
+    """Seeds from left to right, each as short as makes it rare, of the items on themselves."""
+    return short_seeds(spark, d, 3)
+
+
+@query(f"""with recursive {ITEMS}, {CHOSEN}, {STEPS}, every as (select read_id, b, e from first union select read_id, b, e from second union select read_id, b, e from third),
+places as (select v.read_id, v.b, v.e, r.pos + v.b - r.b as pos from every v join runs r on r.read_id = v.read_id and r.b <= v.b and r.e >= v.e),
+ranked as (select places.*, count(*) over w as occ, row_number() over (partition by read_id, b, e order by substr(s, cast(pos as integer) + 1, cast(e - b + 256 as integer)), pos) - 1 as rank from places, whole window w as (partition by read_id, b, e))
+select read_id, b, e, pos from ranked where rank % (case when occ > {CAP} then occ // {CAP} else 1 end) = 0 and (occ <= {CAP} or rank // (occ // {CAP}) < {CAP})""")
+def seed_positions(spark, d):
+    """Occurrences of the seeds of all rounds, at equal strides above the cap, of the items on themselves."""
+    return long(Aligner(SMALL).seed_positions(item_reads(spark, d), targets(spark, d)).withColumnRenamed("id", "read_id"))
 
 
 @query(f"""with {FIRST}, h as (select *, max(e) over (partition by read_id order by b, e rows between unbounded preceding and 1 preceding) as before from first where occ > 1),
 u as (select read_id, sum(greatest(0, e - greatest(b, coalesce(before, b)))) as covered from h group by read_id)
 select r.read_id, cast(coalesce(covered, 0) as bigint) as covered, round(coalesce(covered, 0) / length(seq), 9) as frac_rep from reads r left join u using (read_id) where length(seq) > 0""")
 def rep_fraction(spark, d):
-    """The share of a read that seeds above an occurrence cap cover; the cap is 1 here."""
-    rep = seeds.union_length(seeds.round1(runs_of(spark, d)).where("occ > 1"), ["read_id"], "b", "e", "covered")
-    joined = reads(spark, d).where("length(seq) > 0").join(rep, "read_id", "left").fillna(0, ["covered"])
-    return joined.select("read_id", F.col("covered").cast("long").alias("covered"), F.round(F.col("covered") / F.length("seq"), 9).alias("frac_rep"))
+    """The share of a read that seeds above an occurrence cap cover; the cap is 1 here, and the seeds are those of round 1."""
+    source = reads(spark, d)
+    found = Aligner(Options(max_occ=1, split_width=0, max_mem_intv=0)).repetition(source.withColumnRenamed("read_id", "id"), targets(spark, d))
+    sizes = source.select(F.col("read_id").alias("id"), F.length("seq").alias("n"))
+    return found.join(sizes, "id").select(F.col("id").alias("read_id"), "covered", F.round(F.col("covered") / F.col("n"), 9).alias("frac_rep"))
 
 
 @query(f"""with {RUNS}, b as (select read_id, b, e, case when r.pos >= (select length(s) from fwd) then 2 * (select length(s) from fwd) - pos - (e - b) else pos end as lo, pos >= (select length(s) from fwd) as is_rev from runs r),
@@ -231,9 +286,15 @@ select {k}, cast(sum(greatest(0, {e} - greatest({b}, coalesce(before, {b})))) as
 @query(f"with {RUNS}, " + "w1 as (select read_id, cast(floor((pos - b) / 100.0) as bigint) as band, b, e, pos, pos + e - b as stop from runs), a as (select *, max(e) over (partition by read_id, band order by b, e rows between unbounded preceding and 1 preceding) as qb, max(stop) over (partition by read_id, band order by pos, stop rows between unbounded preceding and 1 preceding) as tb from w1) select read_id, band, cast(least(sum(greatest(0, e - greatest(b, coalesce(qb, b)))), sum(greatest(0, stop - greatest(pos, coalesce(tb, pos))))) as bigint) as weight from a group by read_id, band")
 def chain_weight(spark, d):
     """Bases that the runs of a band of diagonals cover on the read or on the target, whichever are fewer."""
-    r = runs_of(spark, d).withColumn("band", F.floor((F.col("pos") - F.col("b")) / 100)).withColumn("stop", F.col("pos") + F.col("e") - F.col("b"))
-    q, t = seeds.union_length(r, ["read_id", "band"], "b", "e", "q"), seeds.union_length(r, ["read_id", "band"], "pos", "stop", "t")
-    return q.join(t, ["read_id", "band"]).select("read_id", "band", F.least("q", "t").cast("long").alias("weight"))
+    r = runs_of(spark, d).withColumn("band", F.floor((F.col("pos") - F.col("b")) / 100)).withColumn("pos", F.col("pos").cast("long"))
+    seeds_ = r.groupBy("read_id", "band").agg(F.collect_list(F.struct(F.col("b").cast("long").alias("q"), F.col("pos").alias("t"), (F.col("e") - F.col("b")).cast("long").alias("size"))).alias("seeds"))
+
+    def run(batches):
+        for batch in batches:
+            weights = [hits.chain_weight([hits.Seed(x["q"], x["t"], x["size"], x["size"]) for x in row]) for row in batch.column("seeds").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("read_id"), batch.column("band"), pa.array(weights, pa.int64())], ["read_id", "band", "weight"])
+
+    return seeds_.mapInArrow(run, "read_id long, band long, weight long")
 
 
 @query("with t as (select l_orderkey, l_partkey % 1000 as b, l_partkey % 1000 + cast(l_quantity as bigint) as e from lineitem), " + UNION.format(t="t", k="l_orderkey", b="b", e="e", n="covered"))
