@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from decimal import Context, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,19 @@ MAGIC, END = b"SLT1", 2
 BLOCK = 4096
 LANES = 1536  # blocks of a segment
 O1, O2 = 12, 13  # bits of the tables' sizes
-# Two tables that a file is read with; they are made alike wherever IEEE arithmetic holds, far from ties of rounding.
-STRETCH = np.round(np.log((np.arange(4097) + 0.5) / np.maximum(4095.5 - np.arange(4097), 0.5)) * 256).astype(np.int32)
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4095).astype(np.int32)
+
+
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """The two tables that a file is read with: log odds of i / 4096, times 256, and their inverse. Decimal arithmetic rounds
+    alike on every machine, which the C library's logarithm does not promise."""
+    c = Context(prec=15)
+    whole = lambda x: int(c.quantize(x, Decimal(1)))
+    stretch = [whole(c.multiply(c.ln(c.divide(Decimal(2 * i + 1), Decimal(max(8191 - 2 * i, 1)))), Decimal(256))) for i in range(4097)]
+    squash = [whole(c.divide(Decimal(4096), c.add(Decimal(1), c.exp(c.divide(Decimal(-i), Decimal(256)))))) for i in range(-2047, 2048)]
+    return np.array(stretch, np.int32), np.clip(np.array(squash, np.int32), 1, 4095)
+
+
+STRETCH, SQUASH = tables()
 BITS = np.array([int(i).bit_length() for i in range(4096)], np.int64)
 
 
@@ -232,26 +243,47 @@ def write_segment(doc_ids: list[int | None], counts: list[int], ids: np.ndarray,
     return data + struct.pack("<I", zlib.crc32(data))
 
 
-def read_segment(data: bytes, size: int) -> tuple[list[int | None], list[int], np.ndarray]:
-    """Raises ValueError where a checksum is wrong, and names the block."""
-    if data[:4] != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
-        raise ValueError("segment: wrong magic or checksum")
-    n, total, n_blocks = struct.unpack_from("<IQI", data, 4)
-    docs = np.frombuffer(data, np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]), n, 20)
-    table = np.frombuffer(data, "<u4", n_blocks * 3, 20 + n * 13).reshape(-1, 3)
+def head_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Documents, (ids, crc32, payload bytes) of each block, where each payload ends, number of ids; ValueError if they do not
+    fit the segment."""
+    try:
+        if data[:4] != MAGIC:
+            raise ValueError("wrong magic")
+        n, total, n_blocks = struct.unpack_from("<IQI", data, 4)
+        docs = np.frombuffer(data, np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]), n, 20)
+        table = np.frombuffer(data, "<u4", n_blocks * 3, 20 + n * 13).reshape(-1, 3)
+    except (struct.error, ValueError) as e:
+        raise ValueError(f"segment: damaged head ({e})") from None
     ends = np.cumsum(table[:, 2].astype(np.int64)) + 20 + n * 13 + n_blocks * 12
+    if (ends[-1] if n_blocks else 20 + n * 13) + 4 != len(data) or table[:, 0].sum() != total or docs["n"].sum() != total:
+        raise ValueError("segment: damaged head (its sizes do not fit)")
+    return docs, table, ends, total
+
+
+def read_block(data: bytes, k: int, size: int) -> np.ndarray:
+    """The ids of one block of a segment, without any other; ValueError where its checksum is wrong."""
+    _, table, ends, _ = head_of(data)
+    (ids,) = expand([data[ends[k] - table[k, 2] : ends[k]]], [int(table[k, 0])], size)
+    if zlib.crc32(ids.astype("<u4").tobytes()) != table[k, 1]:
+        raise ValueError(f"block {k}: wrong checksum")
+    return ids
+
+
+def read_segment(data: bytes, size: int) -> tuple[list[int | None], list[int], np.ndarray]:
+    """Raises ValueError where a checksum is wrong, and names the blocks."""
+    docs, table, ends, _ = head_of(data)
     payloads = [data[e - p : e] for e, p in zip(ends.tolist(), table[:, 2].tolist())]
-    blocks = [b for a in range(0, n_blocks, LANES) for b in expand(payloads[a : a + LANES], table[a : a + LANES, 0].tolist(), size)]
-    for k, (b, crc) in enumerate(zip(blocks, table[:, 1].tolist())):
-        if zlib.crc32(b.astype("<u4").tobytes()) != crc:
-            raise ValueError(f"block {k}: wrong checksum")
-    ids = np.concatenate(blocks) if blocks else np.zeros(0, np.uint16)
-    assert len(ids) == total
-    return [None if null else int(i) for i, null in zip(docs["id"], docs["null"])], docs["n"].tolist(), ids
+    blocks = [b for a in range(0, len(table), LANES) for b in expand(payloads[a : a + LANES], table[a : a + LANES, 0].tolist(), size)]
+    if wrong := [k for k, (b, crc) in enumerate(zip(blocks, table[:, 1].tolist())) if zlib.crc32(b.astype("<u4").tobytes()) != crc]:
+        raise ValueError(f"block {', '.join(map(str, wrong))}: wrong checksum")
+    if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+        raise ValueError("segment: wrong checksum, though all blocks are whole")
+    return [None if null else int(i) for i, null in zip(docs["id"], docs["null"])], docs["n"].tolist(), np.concatenate(blocks) if blocks else np.zeros(0, np.uint16)
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> None:
-    """The ids of all texts, in ascending doc_id order (nulls first, ties by text), as files of segments in `folder`.
+    """The ids of all texts, in ascending doc_id order (nulls first, ties by a hash of the text), as files of segments in
+    `folder`. An id of very many rows spreads over parts.
 
     Spark's own writer makes the files, so any shared store will do: each row of a Parquet part is a segment, with its
     part, its number there and the ids before it in the part."""
@@ -290,7 +322,9 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> None:
             yield segment()
 
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "coalesce(cast(text as string), '') as text")
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("nth")]
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     dealt.mapInArrow(run, "part long, number long, before long, n_ids long, segment binary").write.parquet(folder)
 
 
@@ -325,7 +359,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the ids of all documents and reads the files back.
 
     Defined results: a null text counts as empty and has the end id alone; repeated rows and ids are documents of their
-    own; null ids come first; an empty table gives no row; other columns are ignored."""
+    own, rows of one id in order of a hash of their text; null ids come first; a text of any length is in one segment; an empty table gives no row; other columns are ignored."""
     spark = docs.sparkSession
     folder = new_path(spark, "token-files")
     write_ids(docs, folder, path)
