@@ -1,7 +1,7 @@
 """Merkle fixity audit of WARC archives, with DataFrame functions only.
 
 Pages become WARC/1.1 resource records, in files of `per_file` consecutive page ids; the catalogue gives each record its
-file, number, offset and length. A leaf is the SHA-256 of a record. An inner node hashes the offset range that it covers
+file and number, and in each replica its offset and length. A leaf is the SHA-256 of a record. An inner node hashes the offset range that it covers
 and the digests of up to `arity` children in order; the roots of the files are the leaves of one tree over the collection.
 audit() compares the roots of two replicas and reads a level's nodes only below nodes that differ, down to the records.
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import drop_written, written
+from .common import written
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -31,16 +31,21 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def catalogue(pages: DataFrame, replicas: dict[str, Column], per_file: int = 1000) -> DataFrame:
-    """file_no, record_no, page_id, offset, length, and for each replica the digest of what it holds for the record (null:
-    nothing). replicas: name -> text of the record in that replica; the first one gives lengths and order."""
-    first = next(iter(replicas))
-    rows = pages.select(F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long").alias("file_no"), F.col("page_id").cast("long").alias("page_id"), F.octet_length(replicas[first]).cast("long").alias("length"), *[F.sha2(c.cast("binary"), 256).alias(name) for name, c in replicas.items()])
+    """file_no, record_no, page_id, and for each replica the digest of what it holds for the record (null: nothing), its offset
+    and length there. replicas: name -> text of the record in that replica; all have the records in one order."""
+    rows = pages.select(
+        F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long").alias("file_no"), F.col("page_id").cast("long").alias("page_id"),
+        *[x for name, c in replicas.items() for x in (F.sha2(c.cast("binary"), 256).alias(name), F.octet_length(c).cast("long").alias(f"{name}_length"))],
+    )
     w = W.partitionBy("file_no").orderBy("page_id", *replicas)
-    return rows.select("file_no", (F.row_number().over(w) - 1).cast("long").alias("record_no"), "page_id", (F.sum("length").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("length")).alias("offset"), "length", *replicas)
+    upto = lambda name: F.coalesce(F.sum(f"{name}_length").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = [F.when(F.col(name).isNotNull(), upto(name)).alias(f"{name}_offset") for name in replicas]
+    return rows.select("file_no", (F.row_number().over(w) - 1).cast("long").alias("record_no"), "page_id", *offsets, *[c for name in replicas for c in (name, f"{name}_length")])
 
 
 def leaves(catalogued: DataFrame, replica: str) -> DataFrame:
-    return catalogued.where(F.col(replica).isNotNull()).select(F.col("file_no").alias("tree"), F.col("record_no").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"), F.col(replica).alias("digest"))
+    start = F.col(f"{replica}_offset")
+    return catalogued.where(F.col(replica).isNotNull()).select(F.col("file_no").alias("tree"), F.col("record_no").alias("node"), start.alias("start"), (start + F.col(f"{replica}_length")).alias("stop"), F.col(replica).alias("digest"))
 
 
 def parents(level: DataFrame, arity: int) -> DataFrame:
@@ -69,11 +74,13 @@ def differing(a: DataFrame, b: DataFrame, below: DataFrame | None, arity: int) -
 
 
 def audit(catalogued: DataFrame, a: str, b: str, arity: int = 16) -> DataFrame:
-    """catalogued: from catalogue(), written. -> its columns but the digests, and status: intact, corrupt, missing (b lacks
-    it) or extra (a lacks it)."""
+    """catalogued: from catalogue(), written. -> file_no, record_no, page_id, offset and length in a (in b, if a lacks it), and
+    status: intact, corrupt, missing (b lacks it) or extra (a lacks it). Behind a record that one replica lacks the other
+    records of the file have moved, so their branches are read, too; they are intact if their digests agree."""
+    place = [F.coalesce(f"{a}_{c}", f"{b}_{c}").alias(c) for c in ("offset", "length")]
     most = catalogued.agg(F.max("record_no").alias("r"), F.max("file_no").alias("f")).first()
     if most["r"] is None:
-        return catalogued.drop(a, b).withColumn("status", F.lit("intact"))
+        return catalogued.select("file_no", "record_no", "page_id", *place, F.lit("intact").alias("status"))
     trees = {}
     for name in (a, b):
         within = levels(leaves(catalogued, name), most["r"], arity)
@@ -90,8 +97,8 @@ def audit(catalogued: DataFrame, a: str, b: str, arity: int = 16) -> DataFrame:
     if len(trees[a][0]) == 1:  # files of one record: their roots are the records
         below = below.select("tree", "node")
     found = below.select(F.col("tree").alias("file_no"), F.col("node").alias("record_no"), F.lit(True).alias("differs"))
-    status = F.when(F.col("differs").isNull(), "intact").when(F.col(b).isNull(), "missing").when(F.col(a).isNull(), "extra").otherwise("corrupt")
-    return catalogued.join(found, ["file_no", "record_no"], "left").withColumn("status", status).drop(a, b, "differs")
+    status = F.when(F.col("differs").isNull() | (F.col(a) == F.col(b)), "intact").when(F.col(b).isNull(), "missing").when(F.col(a).isNull(), "extra").otherwise("corrupt")
+    return catalogued.join(found, ["file_no", "record_no"], "left").select("file_no", "record_no", "page_id", *place, status.alias("status"))
 
 
 def damaged(page_id: Column, html: Column) -> Column:
