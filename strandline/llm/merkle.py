@@ -1,8 +1,8 @@
 """Merkle fixity audit of WARC archives, with DataFrame functions only.
 
 Pages become WARC/1.1 resource records, in files of `per_file` consecutive page ids; the catalogue gives each record its
-file and number, and in each replica its offset and length. A leaf is the SHA-256 of a record. An inner node hashes the offset range that it covers
-and the digests of up to `arity` children in order; the roots of the files are the leaves of one tree over the collection.
+file and number, and in each replica its offset and length. A leaf is the SHA-256 of a record. An inner node hashes the ordered offset
+ranges of up to `arity` children and their digests; the roots of the files are the leaves of one tree over the collection.
 audit() compares the roots of two replicas and reads a level's nodes only below nodes that differ, down to the records.
 
 Every level is written to the shared folder and has 1/arity of the rows below it. Groups hold `arity` rows at most.
@@ -44,15 +44,17 @@ def catalogue(pages: DataFrame, replicas: dict[str, Column], per_file: int = 100
 
 
 def leaves(catalogued: DataFrame, replica: str) -> DataFrame:
-    start = F.col(f"{replica}_offset")
-    return catalogued.where(F.col(replica).isNotNull()).select(F.col("file_no").alias("tree"), F.col("record_no").alias("node"), start.alias("start"), (start + F.col(f"{replica}_length")).alias("stop"), F.col(replica).alias("digest"))
+    """(tree, node, size, digest): a record's bytes in this replica, and its digest."""
+    return catalogued.where(F.col(replica).isNotNull()).select(F.col("file_no").alias("tree"), F.col("record_no").alias("node"), F.col(f"{replica}_length").alias("size"), F.col(replica).alias("digest"))
 
 
 def parents(level: DataFrame, arity: int) -> DataFrame:
-    """The next level of (tree, node, start, stop, digest)."""
-    kids = F.sort_array(F.collect_list(F.struct("node", "digest")))
-    got = level.groupBy("tree", F.floor(F.col("node") / arity).cast("long").alias("node")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), kids.alias("kids"))
-    return got.select("tree", "node", "start", "stop", F.sha2(F.concat_ws("|", F.col("start").cast("string"), F.col("stop").cast("string"), F.transform("kids", lambda k: F.concat(k["node"].cast("string"), F.lit(":"), k["digest"]))).cast("binary"), 256).alias("digest"))
+    """The next level. A node's digest is over the offset ranges of its children, counted from its own start, and their digests."""
+    kids = F.sort_array(F.collect_list(F.struct("node", "size", "digest")))
+    got = level.groupBy("tree", F.floor(F.col("node") / arity).cast("long").alias("node")).agg(F.sum("size").alias("size"), kids.alias("kids"))
+    stop = lambda i: F.aggregate(F.slice("kids", 1, i + 1), F.lit(0).cast("long"), lambda n, k: n + k["size"])
+    text = F.transform("kids", lambda k, i: F.concat_ws(":", k["node"].cast("string"), (stop(i) - k["size"]).cast("string"), stop(i).cast("string"), k["digest"]))
+    return got.select("tree", "node", "size", F.sha2(F.concat_ws("|", text).cast("binary"), 256).alias("digest"))
 
 
 def levels(leaf: DataFrame, top: int, arity: int) -> list[DataFrame]:
@@ -69,14 +71,14 @@ def differing(a: DataFrame, b: DataFrame, below: DataFrame | None, arity: int) -
     if below is not None:
         up = below.select("tree", F.col("node").alias("up"))
         a, b = (x.withColumn("up", F.floor(F.col("node") / arity).cast("long")).join(up, ["tree", "up"], "left_semi") for x in (a, b))
-    a, b = a.select("tree", "node", F.concat_ws("|", "start", "stop", "digest").alias("a")), b.select("tree", "node", F.concat_ws("|", "start", "stop", "digest").alias("b"))
+    a, b = a.select("tree", "node", F.concat_ws("|", "size", "digest").alias("a")), b.select("tree", "node", F.concat_ws("|", "size", "digest").alias("b"))
     return a.join(b, ["tree", "node"], "full").where("not (a <=> b)").select("tree", "node")
 
 
 def audit(catalogued: DataFrame, a: str, b: str, arity: int = 16) -> DataFrame:
     """catalogued: from catalogue(), written. -> file_no, record_no, page_id, offset and length in a (in b, if a lacks it), and
-    status: intact, corrupt, missing (b lacks it) or extra (a lacks it). Behind a record that one replica lacks the other
-    records of the file have moved, so their branches are read, too; they are intact if their digests agree."""
+    status: intact, corrupt, missing (b lacks it) or extra (a lacks it). Ranges count from the start of
+    their node, so a record that one replica lacks, or that is longer there, moves no other branch."""
     place = [F.coalesce(f"{a}_{c}", f"{b}_{c}").alias(c) for c in ("offset", "length")]
     most = catalogued.agg(F.max("record_no").alias("r"), F.max("file_no").alias("f")).first()
     if most["r"] is None:
@@ -85,7 +87,7 @@ def audit(catalogued: DataFrame, a: str, b: str, arity: int = 16) -> DataFrame:
     for name in (a, b):
         within = levels(leaves(catalogued, name), most["r"], arity)
         # the files' roots are leaves of the tree of the collection; file -1 is number 0 there
-        roots = within[-1].select(F.lit(0).cast("long").alias("tree"), (F.col("tree") + 1).alias("node"), F.lit(0).cast("long").alias("start"), "stop", "digest")
+        roots = within[-1].select(F.lit(0).cast("long").alias("tree"), (F.col("tree") + 1).alias("node"), "size", "digest")
         trees[name] = within, levels(roots, most["f"] + 1, arity)
     below = None
     for x, y in zip(reversed(trees[a][1]), reversed(trees[b][1])):
@@ -97,7 +99,7 @@ def audit(catalogued: DataFrame, a: str, b: str, arity: int = 16) -> DataFrame:
     if len(trees[a][0]) == 1:  # files of one record: their roots are the records
         below = below.select("tree", "node")
     found = below.select(F.col("tree").alias("file_no"), F.col("node").alias("record_no"), F.lit(True).alias("differs"))
-    status = F.when(F.col("differs").isNull() | (F.col(a) == F.col(b)), "intact").when(F.col(b).isNull(), "missing").when(F.col(a).isNull(), "extra").otherwise("corrupt")
+    status = F.when(F.col("differs").isNull(), "intact").when(F.col(b).isNull(), "missing").when(F.col(a).isNull(), "extra").otherwise("corrupt")
     return catalogued.join(found, ["file_no", "record_no"], "left").select("file_no", "record_no", "page_id", *place, status.alias("status"))
 
 
