@@ -197,15 +197,16 @@ def linked_nodes(docs: DataFrame, threshold: float, recall: float, width: int, s
     if wanted.where("doc_id is null").limit(1).count():
         sets = sets.union(sets_of(texts.where("doc_id is null"), width).groupBy("node").agg(F.first("sets").alias("sets")))
     sets = sets.join(found, "node").groupBy("node").agg(F.first("sets").alias("sets"))
-    blocks = found.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = grouped.join(blocks, "label").select("label", "node", "copies", "bands", "blocks")
-    many = blocks.where("blocks > 1").count()
+    # groups above a block, of which there are fewer than nodes / block; so no label of very many nodes is dealt out by it
+    blocks = written(found.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "blocks")
+    many = blocks.count()
+    placed = grouped.join(F.broadcast(blocks) if many <= MOST_BROADCAST else blocks, "label", "left").select("label", "node", "copies", "bands", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     packed_bands = F.expr("unhex(array_join(transform(bands, b -> lpad(hex(b), 16, '0')), ''))").alias("bands")
     tasks = placed.where("blocks = 1").select("label", F.lit(0).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "copies", packed_bands, F.lit(1).cast("long").alias("f"))
     near, sets_table = None, None
     if many:
         sets = sets_table = written(sets, "sets")
-        near = written(centred(placed.where("blocks > 1"), leads, found, sets, threshold), "near")
+        near = written(centred(placed.where("blocks > 1"), leads, sets, threshold), "near")
         big = near.join(placed.where("blocks > 1").select("node", "bands"), "node").select("label", "node", "copies", packed_bands, "f")
         tasks = tasks.unionByName(outer_tasks(big, near, many, block))
     ready = tasks.join(sets, "node")
@@ -224,13 +225,13 @@ def linked_nodes(docs: DataFrame, threshold: float, recall: float, width: int, s
         sure = near.select("node", "sure").join(whole, "node", "left").withColumn("far", F.coalesce("far", "node"))
         got = sure.join(got, "node", "full").select("node", (F.coalesce("linked", F.lit(0)) + F.coalesce("sure", F.lit(0))).alias("linked"), F.coalesce("far", "root").alias("root"))
     known = written(nodes.join(got, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("linked", F.lit(0)).cast("long").alias("linked")), "known")
-    for table in (found, nodes, judged, near, sets_table):
+    for table in (found, nodes, blocks, judged, near, sets_table):
         if table is not None:
             drop_written(docs.sparkSession, table)
     return sig, known, [sig, known]
 
 
-def centred(placed: DataFrame, leads: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def centred(placed: DataFrame, leads: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of the nodes of large groups: label, node, copies, centre, f, sure, to_centre.
 
     The centre of a group is the lead of its fullest bucket. With d the size of the difference of a node's set from the
@@ -238,7 +239,7 @@ def centred(placed: DataFrame, leads: DataFrame, found: DataFrame, sets: DataFra
     f = (1 + t) d - (1 - t) size. sure counts the documents so linked to a node, from counts per distinct f: near copies of
     one text are linked without a comparison of pairs."""
     t = math.ceil(round(threshold * 1000, 6))
-    centres = leads.join(found.join(placed.select("label").distinct(), "label", "left_semi"), F.col("lead") == F.col("node")).groupBy("label").agg(F.max(F.struct("n", "lead"))["lead"].alias("centre"))
+    centres = leads.join(placed.select("label", F.col("node").alias("lead")), "lead").groupBy("label").agg(F.max(F.struct("n", "lead"))["lead"].alias("centre"))
     of_centre = centres.join(sets, F.col("centre") == F.col("node")).join(placed.groupBy("label").agg(F.first("blocks").alias("blocks")), "label").select("label", "centre", "sets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
     dealt = placed.select("label", "node", "copies", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")).join(sets, "node")
     rows = dealt.select("label", "own", F.lit(False).alias("is_centre"), "node", "copies", "sets").unionByName(of_centre.select("label", "own", F.lit(True).alias("is_centre"), F.col("centre").alias("node"), F.lit(0).cast("long").alias("copies"), "sets"))
