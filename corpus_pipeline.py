@@ -1,4 +1,8 @@
-"""The corpus pipeline: language, quality, near duplicates, packing. Each stage works on all that the one before it kept."""
+"""The corpus pipeline: language, quality, near duplicates, packing. Each stage works on all that the one before it kept.
+
+Defined results of every stage: null texts count as empty; rows that repeat are judged alike, and the near-duplicate stage
+keeps one of them; columns besides doc_id, text, lang and source are carried along, whatever their names, up to packing; an
+empty table gives an empty table. Null and repeated ids are allowed. Ties are broken as the operators' docstrings say."""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ LEAST_LANGUAGE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in one of the learned languages. Columns stay as they are."""
+    """Keeps documents in one of the learned languages. Columns stay as they are. Texts without a letter go."""
     model = langid.fit(docs.where(remainder("doc_id", 4) != 2))
     names = unused("language", docs.columns), unused("score", docs.columns)
     judged = langid.predict(docs, model, docs.columns, names)
@@ -21,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose lines are likely good."""
+    """Keeps documents whose lines are likely good. An empty text is scored as one empty line; without labels all stay."""
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
     names = unused("score", docs.columns), unused("predicted", docs.columns)
     return quality.score(docs, quality.fit(docs, labels), docs.columns, names=names).where(F.col(names[1]) == 1).drop(*names)
