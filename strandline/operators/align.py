@@ -9,13 +9,14 @@ from dataclasses import asdict, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bases import normal, trim_read_number
 from ..options import Options
-from . import index, kernels, pairs, records, seeds
+from . import index, kernels, pairs, profile, records, seeds
 from .hits import Region, Runs, Target, assign_primaries, build_chains, filter_chains, leftmost_first, positions_of, regions_of, repetitive, rounds_of, seeds_of
 
 REGION = "tb long, te long, qb int, qe int, rid int, score int, true_score int, csub int, band int, covered int, seed_size int, n_comp int, alt boolean, rep double"
@@ -191,6 +192,31 @@ class Aligner:
 
         return rows.mapInArrow(run, reads.select(*keep).schema.add("regions", _parse_datatype_string(REGIONS)))
 
+    def profile(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
+        """stage, workers, total, least, greatest, mean: seconds of each stage of single reads, over the tasks that had reads.
+
+        The reads are aligned and the records thrown away. A task hands on one row per stage, so only tasks that ended count,
+        each once. The join that finds the matches is Spark's and not among the stages."""
+        targets = with_substitutes(targets)
+        told = reads.sparkSession.sparkContext.broadcast(collected(targets, self.o))
+        o = self.o
+
+        def run(batches):
+            clock, any_read = profile.Clock(), False
+            for batch in batches:
+                for id_, seq, found in zip(*(batch.column(c).to_pylist() for c in ("id", "seq", "runs"))):
+                    any_read = True
+                    read = kernels.codes(seq or "")
+                    regions = regions_of(Runs.of(found, o.min_seed), read, told.value, o, clock) if found and seq else []
+                    regions, _ = clock("rank", assign_primaries, regions, o, id_)
+                    clock("records", records.chosen, regions, read, told.value, o)
+            stages = profile.STAGES if any_read else []
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(stages, pa.string()), pa.array([part] * len(stages), pa.int32()), pa.array([clock.seconds[s] for s in stages], pa.float64())], ["stage", "worker", "seconds"])
+
+        spent = reads.select("id", "seq").join(self.matches(reads, targets), "id", "left").select("id", "seq", "runs").mapInArrow(run, "stage string, worker int, seconds double")
+        return profile.summary(spent, "stage", "worker", F.col("seconds"))
+
     def align(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
         """Single-end records: id, name, and the fields of a SAM line."""
         o = self.o

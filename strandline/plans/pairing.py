@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bases, sam, scores
-from ..operators import align, index, kernels, pairs, records
+from ..operators import align, index, kernels, pairs, profile, records
 from ..operators.hits import Region
 from ..options import Options
 from .relational import READS, TARGETS, long, reads, table, targets
@@ -199,6 +199,14 @@ def chunk_assign(spark, d):
     return align.chunked(r, 100_000).select("id", "chunk_id")
 
 
+@query("""with w as (select l_returnflag as stage, l_suppkey % 16 as worker, sum(cast(l_quantity as bigint)) as amount from lineitem group by 1, 2)
+select stage, count(*) as workers, cast(sum(amount) as bigint) as total, cast(min(amount) as bigint) as least, cast(max(amount) as bigint) as greatest, cast(sum(amount) as double) / count(*) as mean from w group by stage""")
+def profile_summary(spark, d):
+    """The spread of what workers spent on each stage, of return flags as stages and suppliers in turn as workers."""
+    spent = table(spark, d, "lineitem").withColumn("worker", F.col("l_suppkey") % 16)
+    return long(profile.summary(spent, "l_returnflag", "worker", F.col("l_quantity").cast("long")))
+
+
 # kernels: no SQL says what they do; tests hold them against brute force
 
 

@@ -167,3 +167,16 @@ def test_a_stream_of_reads_is_aligned_by_batch(spark, tmp_path, world):
     stream = spark.readStream.schema("id long, name string, seq string").parquet(str(tmp_path / "in"))
     align_stream(stream, targets, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_the_profile_tells_the_seconds_of_each_stage(spark, world):
+    from strandline.operators import profile
+
+    _, contigs, targets = world
+    reads = spark.createDataFrame([(i, f"r{i}", contigs[0][50 * i : 50 * i + 120]) for i in range(12)] + [(99, "none", "")], "id long, name string, seq string")
+    got = {r.stage: r for r in Aligner().profile(reads, targets).collect()}
+    assert set(got) == set(profile.STAGES)
+    for r in got.values():
+        assert 0 <= r.least <= r.mean <= r.greatest <= r.total and r.workers >= 1
+    assert got["extend"].total > 0 and got["records"].total > 0
+    assert Aligner().profile(reads.where("id < 0"), targets).count() == 0
