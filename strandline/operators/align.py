@@ -9,10 +9,11 @@ from dataclasses import asdict, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.bases import normal, trim_read_number
 from ..options import Options
@@ -41,20 +42,49 @@ def collected(targets: DataFrame, o: Options) -> Target:
     return Target([r["name"] for r in rows], np.cumsum(lengths) - lengths, lengths, np.array([r["alt"] for r in rows], bool), forward, [r["anno"] for r in rows])
 
 
+#: The generator of substitutes: state -> state * STEP + ADD modulo 2^48, and the state before the first.
+STEP, ADD, FIRST, MASK48 = 0x5DEECE66D, 0xB, (11 << 16) + 0x330E, (1 << 48) - 1
+
+
+def substitutes(before: int, n: int) -> np.ndarray:
+    """The codes of n bases of the sequence, after the first `before` of it, which are jumped over."""
+    state, mult, add, left = FIRST, STEP, ADD, before
+    while left:  # mult and add are those of a power of two of steps
+        if left & 1:
+            state = (state * mult + add) & MASK48
+        mult, add, left = mult * mult & MASK48, (mult + 1) * add & MASK48, left >> 1
+    states = np.array([(state * STEP + ADD) & MASK48], np.uint64)
+    mult, add = STEP, ADD  # of as many steps as there are states
+    while len(states) < n:
+        states = np.concatenate([states, (states * np.uint64(mult) + np.uint64(add)) & np.uint64(MASK48)])
+        mult, add = mult * mult & MASK48, (mult + 1) * add & MASK48
+    return (states[:n] >> np.uint64(17) & np.uint64(3)).astype(np.uint8)
+
+
 def with_substitutes(targets: DataFrame) -> DataFrame:
-    """Ambiguous target bases become bases of a 48-bit linear congruential sequence, in order of the contigs."""
-    rows = targets.orderBy("rid").collect() if targets.where("seq rlike '[^ACGTacgt]'").limit(1).count() else None
-    if rows is None:
+    """Ambiguous target bases become bases of a 48-bit linear congruential sequence, in order of the contigs.
+
+    Only the number of them in each contig is summed in one place; a contig's own are found and replaced where it lies."""
+    others = F.length(F.regexp_replace("seq", "[ACGTacgt]", "")).cast("long")
+    if not targets.where(others > 0).limit(1).count():
         return targets
-    state, out = (11 << 16) + 0x330E, []
-    for r in rows:
-        seq = list(r["seq"].upper())
-        for i, c in enumerate(seq):
-            if c not in "ACGT":
-                state = (state * 0x5DEECE66D + 0xB) & ((1 << 48) - 1)
-                seq[i] = "ACGT"[state >> 17 & 3]
-        out.append({**r.asDict(), "seq": "".join(seq)})
-    return targets.sparkSession.createDataFrame(out, targets.schema)
+    w = W.orderBy("rid").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = targets.select("rid", others.alias("_n")).select(F.col("rid").alias("_rid"), (F.sum("_n").over(w) - F.coalesce("_n", F.lit(0))).alias("_before"))
+    letters, keep = np.frombuffer(b"ACGT", np.uint8), targets.columns
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for seq, before in zip(batch.column("seq").to_pylist(), batch.column("_before").to_pylist()):
+                if seq is not None:
+                    found = kernels.codes(seq.encode("ascii", "replace"))
+                    unknown = found > 3
+                    found[unknown] = substitutes(before or 0, int(unknown.sum()))
+                    seq = letters[found].tobytes().decode()
+                out.append(seq)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "seq" else batch.column(c) for c in keep], keep)
+
+    return targets.join(counts, targets["rid"] == counts["_rid"]).select(*keep, "_before").mapInArrow(run, targets.schema)
 
 
 def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
@@ -118,6 +148,11 @@ class Aligner:
         self.o = options if options and not given else replace(options, **given) if options else Options.of(**given)
         self.kmers = kmers
 
+    def told(self, targets: DataFrame) -> tuple[DataFrame, Broadcast]:
+        """targets with substitutes, and their bases, collected once and sent to the executors."""
+        targets = with_substitutes(targets)
+        return targets, targets.sparkSession.sparkContext.broadcast(collected(targets, self.o))
+
     def matches(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
         """id and its exact matches, as an array of (b, e, pos)."""
         source = reads.select(F.col("id").alias("read_id"), normal(F.col("seq")).alias("seq"))
@@ -126,8 +161,7 @@ class Aligner:
 
     def per_read(self, reads: DataFrame, targets: DataFrame, work, schema: str) -> DataFrame:
         """id, and a row of `schema` for each that work(runs, read, target, o) gives of a read."""
-        targets = with_substitutes(targets)
-        told = reads.sparkSession.sparkContext.broadcast(collected(targets, self.o))
+        targets, told = self.told(targets)
         o, names = self.o, [f.split()[0] for f in schema.split(", ")]
         kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
         types = [kinds[f.split()[1]] for f in schema.split(", ")]
@@ -169,8 +203,10 @@ class Aligner:
 
     def regions(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
         """The columns of reads, and their hits before ranking."""
-        targets = with_substitutes(targets)
-        told = reads.sparkSession.sparkContext.broadcast(collected(targets, self.o))
+        return self.regions_in(reads, *self.told(targets))
+
+    def regions_in(self, reads: DataFrame, targets: DataFrame, told: Broadcast) -> DataFrame:
+        """regions() of targets that told() gave."""
         o, k = self.o, self.o.min_seed
         rows = reads.join(self.matches(reads, targets), "id", "left")
         keep = reads.columns
@@ -188,17 +224,14 @@ class Aligner:
                 kind = pa.list_(pa.struct([(f.split()[0], kinds[f.split()[1]]) for f in REGION.split(", ")]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, kind)], [*keep, "regions"])
 
-        from pyspark.sql.types import _parse_datatype_string
-
-        return rows.mapInArrow(run, reads.select(*keep).schema.add("regions", _parse_datatype_string(REGIONS)))
+        return rows.mapInArrow(run, StructType([*reads.select(*keep).schema, *StructType.fromDDL(f"regions {REGIONS}")]))
 
     def profile(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
         """stage, workers, total, least, greatest, mean: seconds of each stage of single reads, over the tasks that had reads.
 
         The reads are aligned and the records thrown away. A task hands on one row per stage, so only tasks that ended count,
         each once. The join that finds the matches is Spark's and not among the stages."""
-        targets = with_substitutes(targets)
-        told = reads.sparkSession.sparkContext.broadcast(collected(targets, self.o))
+        targets, told = self.told(targets)
         o = self.o
 
         def run(batches):
@@ -220,8 +253,8 @@ class Aligner:
     def align(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
         """Single-end records: id, name, and the fields of a SAM line."""
         o = self.o
-        found = self.regions(reads, targets)
-        told = reads.sparkSession.sparkContext.broadcast(collected(with_substitutes(targets), o))
+        targets, told = self.told(targets)
+        found = self.regions_in(reads, targets, told)
         found = found.select("id", "name", "seq", *[F.col(c) if c in reads.columns else F.lit(None).cast("string").alias(c) for c in ("qual", "comment")], "regions")
 
         def run(batches):
@@ -260,12 +293,10 @@ class Aligner:
     def align_pairs(self, reads: DataFrame, targets: DataFrame) -> DataFrame:
         """Paired records. Mates have ids 2 i and 2 i + 1 and equal names but for a closing /digit."""
         o = self.o
-        targets = with_substitutes(targets)
-        target = collected(targets, o)
-        told = reads.sparkSession.sparkContext.broadcast(target)
+        targets, told = self.told(targets)
         optional = [F.col(c) if c in reads.columns else F.lit(None).cast("string").alias(c) for c in ("qual", "comment")]
         source = chunked(reads.select("id", trim_read_number(F.col("name")).alias("name"), "seq", *optional), o.chunk_bases)
-        found = self.regions(source, targets).withColumn("pair_id", F.expr("id div 2"))
+        found = self.regions_in(source, targets, told).withColumn("pair_id", F.expr("id div 2"))
         end = lambda n: found.where(F.col("id") % 2 == n - 1).select("pair_id", *(["chunk_id"] if n == 1 else []), *[F.col(c).alias(f"{c}{n}") for c in ("name", "seq", "qual", "comment", "regions")])
         both = end(1).join(end(2), "pair_id").withColumn("_same", F.assert_true(F.col("name1") == F.col("name2"), F.lit("paired reads have different names"))).where("_same is null").drop("_same")
         if o.insert_stats:
@@ -277,7 +308,7 @@ class Aligner:
             both = both.withColumn("stats", F.lit(None).cast("array<struct<dir:int,low:bigint,high:bigint,failed:boolean,avg:double,std:double>>"))
         else:
             fixed = None
-            stats = self.statistics(both, target.half).groupBy("chunk_id").agg(F.collect_list(F.struct(F.col("dir").cast("int").alias("dir"), "low", "high", "failed", "avg", "std")).alias("stats"))
+            stats = self.statistics(both, told.value.half).groupBy("chunk_id").agg(F.collect_list(F.struct(F.col("dir").cast("int").alias("dir"), "low", "high", "failed", "avg", "std")).alias("stats"))
             both = both.join(stats, "chunk_id", "left")
 
         def run(batches):

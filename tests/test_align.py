@@ -6,7 +6,7 @@ import re
 import pytest
 
 from strandline.functions import sam
-from strandline.operators.align import Aligner, chunked, smart_pairs
+from strandline.operators.align import Aligner, chunked, smart_pairs, with_substitutes
 from strandline.sources import sequences
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -115,6 +115,26 @@ def test_smart_pairs_and_chunks(spark):
     assert [r.chunk_id for r in chunked(reads, 100).orderBy("id").collect()] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
 
 
+def test_substitutes_run_on_over_contigs(spark):
+    seqs = ["acgtNNRACG", "", None, "ACGT", "n" * 300 + "A", "ßY", "GNG"]
+    rows = [(i, f"c{i}", s, i == 1) for i, s in enumerate(seqs)]
+    targets = spark.createDataFrame(rows, "rid int, name string, seq string, is_alt boolean").repartition(3)
+    state, want = (11 << 16) + 0x330E, []
+    for s in seqs:
+        out = None if s is None else ""
+        for c in s or "":
+            if c not in "ACGTacgt":
+                state = (state * 0x5DEECE66D + 0xB) & ((1 << 48) - 1)
+                c = "ACGT"[state >> 17 & 3]
+            out += c.upper()
+        want.append(out)
+    got = with_substitutes(targets)
+    assert got.schema == targets.schema
+    assert [(r.rid, r.name, r.seq, r.is_alt) for r in got.orderBy("rid").collect()] == [(i, f"c{i}", s, i == 1) for i, s in enumerate(want)]
+    plain = targets.where("rid = 3")
+    assert with_substitutes(plain) is plain
+
+
 def test_sequence_files(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">c1 first one\r\nACGT\nAC GT\n>c2\nTTTT\n")
     rows = sequences.read_sequences(spark, str(tmp_path / "a.fa")).orderBy("ordinal").collect()
