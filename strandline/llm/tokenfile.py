@@ -13,27 +13,35 @@ order 0 by the id's frequency; the weights learn from each coded id. The second
 adaptive probability. An id that is neither is coded by its order-0 frequency in the block so far, first its group of 256 ids, then
 the id, in one step of the coder. All arithmetic is in integers, so any machine decodes alike.
 
-Coding runs over all blocks of a segment in step: one id of each block at a time, in numpy.
+An adaptive model learns from each id before the next, so arrays help only over many blocks side by side: the functions of
+this module code all blocks of a segment in step, one id of each block at a time. The tables are coded by TokenCoder.java
+instead, one block after another, which gives the same bytes for a small part of the time; Spark's own compiler (Janino) makes
+its classes on the driver, and Spark hands them to the executors.
 """
 
 from __future__ import annotations
 
+import os
 import struct
+import tempfile
+import zipfile
 import zlib
 from decimal import Context, Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary
+from .bpe import FastEncoder, encoder, vocabulary
 from .common import new_path, pieces, string_array, tidy
 
 MAGIC, END = b"SLT1", 2
 BLOCK = 4096
-LANES = 1536  # blocks of a segment
+LANES = 1536  # blocks that are coded in step
+SEGMENT = 256 * BLOCK  # ids after which a segment ends, with its document
 O1, O2 = 12, 13  # bits of the tables' sizes
+DOCUMENT = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])  # in a segment's head
 
 
 def tables() -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +258,7 @@ def head_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         if data[:4] != MAGIC:
             raise ValueError("wrong magic")
         n, total, n_blocks = struct.unpack_from("<IQI", data, 4)
-        docs = np.frombuffer(data, np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]), n, 20)
+        docs = np.frombuffer(data, DOCUMENT, n, 20)
         table = np.frombuffer(data, "<u4", n_blocks * 3, 20 + n * 13).reshape(-1, 3)
     except (struct.error, ValueError) as e:
         raise ValueError(f"segment: damaged head ({e})") from None
@@ -281,6 +289,40 @@ def read_segment(data: bytes, size: int) -> tuple[list[int | None], list[int], n
     return [None if null else int(i) for i, null in zip(docs["id"], docs["null"])], docs["n"].tolist(), np.concatenate(blocks) if blocks else np.zeros(0, np.uint16)
 
 
+JAVA = "TokenCoder"
+_classes: dict = {}
+
+
+def classes(spark: SparkSession):
+    """The class loader of TokenCoder.java; its classes are on the executors' way, too."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _classes:
+        with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), f"{JAVA}.java")) as f:
+            source = f.read()
+        compiler = sc._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(sc._jvm.org.apache.spark.util.Utils.getContextOrSparkClassLoader())
+        compiler.cook(source)
+        jar = os.path.join(tempfile.mkdtemp(dir=sc._temp_dir), f"{JAVA}.jar")  # goes with the session
+        with zipfile.ZipFile(jar, "w") as z:
+            for name, code in compiler.getBytecodes().items():
+                z.writestr(f"{name.replace('.', '/')}.class", bytes(code))
+        sc._jsc.addJar(jar)
+        _classes[sc.applicationId] = compiler.getClassLoader()
+    return _classes[sc.applicationId]
+
+
+def java(spark: SparkSession, name: str, returns: str, size: int, *columns: str) -> Column:
+    """Columns through the function `name` of TokenCoder.java, for ids below `size`."""
+    from pyspark.sql.classic.column import Column as Classic
+    from pyspark.sql.classic.column import _to_java_column, _to_seq
+
+    f = classes(spark).loadClass(f"strandline.{JAVA}${name}").newInstance()
+    f.set(b"".join(t.astype("<i4").tobytes() for t in (STRETCH, SQUASH)), size)
+    sc = spark.sparkContext
+    called = sc._jvm.org.apache.spark.sql.functions.udf(f, sc._jvm.org.apache.spark.sql.types.DataType.fromDDL(returns))
+    return Classic(called.apply(_to_seq(sc, columns, _to_java_column)))
+
+
 def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """The ids of all texts, in ascending doc_id order (nulls first, ties by a hash of the text), as files of segments in
     `folder`. An id of very many rows spreads over parts.
@@ -294,29 +336,28 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> None:
     def run(batches):
         from pyspark import TaskContext
 
-        words, part, number, before = encoder(path), TaskContext.get().partitionId(), 0, 0
-        size = len(words.tokens)
+        words, part, number, before = encoder(path, FastEncoder), TaskContext.get().partitionId(), 0, 0
         held_docs: list = []
-        held_counts: list = []
         held_ids: list = []
 
         def segment():
             nonlocal number, before
-            ids = np.concatenate(held_ids)
-            data = write_segment(held_docs, held_counts, ids, size)
-            row = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["part", "number", "before", "n_ids", "segment"])
+            docs, ids = np.concatenate(held_docs), np.concatenate(held_ids)
+            columns = [pa.array([part]), pa.array([number]), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([docs.tobytes()], pa.binary()), pa.array([ids.astype("<u2").tobytes()], pa.binary())]
+            row = pa.RecordBatch.from_arrays(columns, ["part", "number", "before", "n_ids", "docs", "ids"])
             number, before = number + 1, before + len(ids)
-            held_docs.clear(), held_counts.clear(), held_ids.clear()
+            held_docs.clear(), held_ids.clear()
             return row
 
         for batch in batches:
-            for piece in pieces(batch, "text", 4 << 20):
+            for piece in pieces(batch, "text"):
                 ids, counts = words.encode(string_array(piece.column("text")))
-                ends = np.cumsum(counts)
-                held_docs += piece.column("doc_id").to_pylist()
-                held_counts += (counts + 1).tolist()
-                held_ids.append(np.insert(ids, ends, END))
-                if sum(map(len, held_ids)) >= LANES * BLOCK:
+                docs = np.empty(len(counts), DOCUMENT)
+                doc_ids = piece.column("doc_id")
+                docs["id"], docs["null"], docs["n"] = doc_ids.fill_null(0), doc_ids.is_null(), counts + 1
+                held_docs.append(docs)
+                held_ids.append(np.insert(ids, np.cumsum(counts), END))
+                if sum(map(len, held_ids)) >= SEGMENT:
                     yield segment()
         if held_docs:
             yield segment()
@@ -325,25 +366,15 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> None:
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("nth")]
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id())
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    dealt.mapInArrow(run, "part long, number long, before long, n_ids long, segment binary").write.parquet(folder)
+    ids = dealt.mapInArrow(run, "part long, number long, before long, n_ids long, docs binary, ids binary")
+    segment = java(docs.sparkSession, "Writer", "binary", len(encoder(path, FastEncoder).tokens), "docs", "ids")
+    ids.select("part", "number", "before", "n_ids", segment.alias("segment")).write.parquet(folder)
 
 
 def read_ids(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
-    path = path or vocabulary()
-    schema = "doc_id long, part long, place long, n_tokens long, ids_crc32 long"
-
-    @tidy
-    def run(batches):
-        size = len(encoder(path).tokens)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc_ids, counts, ids = read_segment(batch.column("segment")[i].as_py(), size)
-                wide, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(counts)
-                crc = [zlib.crc32(wide[(e - c) * 4 : e * 4]) for e, c in zip(ends.tolist(), counts)]
-                place = batch.column("before")[i].as_py() + ends - counts
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([batch.column("part")[i].as_py()] * len(crc), pa.int64()), pa.array(place, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], [f.split()[0] for f in schema.split(", ")])
-
+    schema = "doc_id long, place long, n_tokens long, ids_crc32 long"
+    documents = java(spark, "Reader", f"array<struct<{schema}>>".replace(" long", ": bigint"), len(encoder(path or vocabulary(), FastEncoder).tokens), "segment")
     files = spark.read.parquet(folder)
     sizes = files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row for each part
     before, firsts = 0, []
@@ -351,8 +382,8 @@ def read_ids(spark: SparkSession, folder: str, path: str | None = None) -> DataF
         firsts.append((r["part"], before))
         before += r["n"]
     first = F.broadcast(spark.createDataFrame(firsts, "part long, first long"))
-    got = files.select("part", "before", "segment").mapInArrow(run, schema)
-    return got.join(first, "part").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    got = files.join(first, "part").select("first", "before", F.inline(documents))
+    return got.select("doc_id", (F.col("first") + F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
