@@ -124,6 +124,20 @@ def test_rules_nest_and_hot_hosts_are_salted(spark):
     assert not [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Python" in x or "Arrow" in x]
 
 
+CONTRACT = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+
+
+def test_the_query_judges_by_the_rules_of_its_contract(spark, tmp_path):
+    rules = [(rule[: rule.index("/")], rule[rule.index("/") :], verdict) for verdict, rule in (r.split() for r in CONTRACT.split(", "))]
+    assert sorted(tuple(r) for r in urlrules.rules_table(spark).collect()) == sorted(rules)
+    urls = [f"http://{host}{path}" for host in ("com", "a.example.com", "net", "b.net", "example.net", "c.example.net", "xexample.net", "d.org") for path in ("/en/1", "/en/7", "/de/", "/de/1", "/de/8", "/es/2", "/de")]
+    pages = list(enumerate([None, "no scheme", *urls]))
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES["op8_url_rules"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((i, *slow_judge(u, rules))) for i, u in pages)
+    assert {r.rule for r in got} == {None, *(h + p for h, p, _ in rules)}
+
+
 def test_fixity_names_what_differs(spark):
     pages = [(i, f"http://x/{i}", f"<p>{i}</p>") for i in range(2500)] + [(None, None, None), (7, "http://x/7b", "twice"), (7, "http://x/7b", "twice")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as length", "2 as status")
