@@ -350,15 +350,21 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> None:
             return row
 
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 4 << 20):
                 ids, counts = words.encode(string_array(piece.column("text")))
                 docs = np.empty(len(counts), DOCUMENT)
                 doc_ids = piece.column("doc_id")
                 docs["id"], docs["null"], docs["n"] = doc_ids.fill_null(0), doc_ids.is_null(), counts + 1
-                held_docs.append(docs)
-                held_ids.append(np.insert(ids, np.cumsum(counts), END))
-                if sum(map(len, held_ids)) >= SEGMENT:
-                    yield segment()
+                ids, ends, at = np.insert(ids, np.cumsum(counts), END), np.cumsum(counts + 1), 0
+                while at < len(docs):
+                    first = ends[at - 1] if at else 0
+                    to = int(np.searchsorted(ends, first + SEGMENT - sum(map(len, held_ids)))) + 1
+                    full, to = to <= len(docs), min(to, len(docs))
+                    held_docs.append(docs[at:to])
+                    held_ids.append(ids[first : ends[to - 1]])
+                    at = to
+                    if full:
+                        yield segment()
         if held_docs:
             yield segment()
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandline.llm import tokenfile
+from strandline.llm import bpe, tokenfile
 from strandline.llm.bpe import FastEncoder, encoder, vocabulary
 
 RNG = np.random.default_rng(4)
@@ -70,3 +70,41 @@ def test_the_fast_encoder_gives_the_same_ids():
     texts = pa.array([words[:30_000], "", words[30_000:], "Hello it's <|endoftext|> WE'LL 42²x 日本語"])
     for a, b in zip(FastEncoder(vocabulary()).encode(texts), encoder(vocabulary()).encode(texts)):
         assert np.array_equal(a, b)
+
+
+def test_the_fast_encoder_cuts_words_as_the_library_does():
+    whole = encoder(vocabulary()).whole
+    bits = ["a", "B", "é", "É", "ß", "ÿ", "×", "÷", "²", "¡", "ı", "İ", "Σ", "e\u0301", "\u200b", "\xa0", "\x85", "\x0b", "日本", "ﬁ", "٣", "0", "19", "'s", "'", "'LL", "<", "|", "<|endoftext|>", "<|ENDOFTEXT|>", ".", "!?", "-", " ", "  ", "\n", "\t", "\r", "Ġ", "</w>"]
+    texts = ["".join(RNG.choice(bits, RNG.integers(0, 30))) for _ in range(1500)] + ["", " ", "\n", "<", "|", "é", "É'"]
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for e in (FastEncoder(vocabulary()), FastEncoder(vocabulary(), 40), FastEncoder(vocabulary(), 600_000, 300)):
+        for some in (slice(0, 3), slice(0, 700), slice(500, None)):
+            ids, counts = e.encode(pa.array(texts)[some])
+            assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == expected[some]
+
+
+def test_the_fast_encoder_keeps_what_it_learned_within_bounds(monkeypatch):
+    e, texts = encoder(vocabulary(), FastEncoder), pa.array(["One two, ONE Two? été", "two one."])
+    first = e.encode(texts)
+    bpe.emptied()  # as at the end of a task
+    for library in ("whole", "merges", "bytewise"):
+        monkeypatch.setattr(e, library, None, raising=False)  # not asked again
+    assert all(np.array_equal(a, b) for a, b in zip(first, e.encode(texts)))
+    small = FastEncoder(vocabulary(), 600_000, 200)
+    small.encode(pa.array(["word " + "x" * 1_000]))
+    assert len(small.values) == 2
+    small.clear()
+    assert not len(small.values)
+    with pytest.raises(UnicodeDecodeError):
+        small.encode(pa.array([b"new \xff"], pa.binary()).view(pa.string()))
+    assert np.array_equal(small.encode(texts)[0], first[0])
+
+
+def test_a_segment_ends_with_the_document_that_fills_it(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "SEGMENT", 10)
+    folder = str(tmp_path / "files")
+    rows = [(i, "one two three") for i in range(20)]
+    tokenfile.write_ids(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), folder)
+    got = spark.read.parquet(folder).orderBy("part", "number").collect()
+    assert sum(r.n_ids for r in got) == 80 and all(r.n_ids <= 12 for r in got)
+    assert [r.before for r in got if r.part == got[0].part] == [12 * i for i in range(sum(r.part == got[0].part for r in got))]
