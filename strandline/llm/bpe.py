@@ -243,28 +243,60 @@ class FastEncoder(WordEncoder):
         is_odd[odd] = True
         plain, whole = np.flatnonzero(new & ~is_odd), np.flatnonzero(new & is_odd)
         for i in range(0, len(plain), 10_000):
-            self.value_ids.put(*self._value_ids(values.take(pa.array(plain[i : i + 10_000]))))
+            self._keep(*self._value_ids(values.take(pa.array(plain[i : i + 10_000]))))
         order = plain.tolist()
         if len(whole):
             words = values.take(pa.array(whole)).to_pylist()
             number = dict(zip(words, whole.tolist()))
             for part, ids, counts in self._coded(words):
                 order += [number[w] for w in part]
-                self.value_ids.put(ids, counts)
+                self._keep(ids, counts)
         return np.array(order)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _keep(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.value_ids.put(ids, counts)
+
+    def _located(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the table has the distinct values of texts, which of them each value is, and the first value of each text and
+        at last their number."""
         raw, off = views(texts)
         kept, bounds, starts, odd = self._cut(raw, off) if len(raw) else (raw, off[:0], off[:0], off[:0])
         if not len(starts):
-            return np.zeros(0, np.uint16), np.zeros(len(off) - 1, np.int64)
-        coded = from_views(kept, np.append(bounds, len(kept))).dictionary_encode()
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(len(off), np.int64)
+        first = np.searchsorted(starts, off)
+        del starts, raw
+        coded = from_views(kept, np.append(bounds, len(kept)).astype(np.int32)).dictionary_encode()
         at = np.asarray(coded.indices)
-        place = self._places(coded.dictionary, at[odd])  # may put another table in place
+        return self._places(coded.dictionary, at[odd]), at, first  # may put another table in place
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        place, at, first = self._located(texts)
+        if not len(at):
+            return np.zeros(0, np.uint16), np.zeros(len(first) - 1, np.int64)
         place, known = place[at], self.value_ids
         counts = known.count[place]
         ids, _ = gather(known.flat, known.start[place], counts, np.int32 if max(len(known.flat), counts.sum()) < 1 << 31 else np.int64)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, off)])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[first])
+
+
+class Counter(FastEncoder):
+    """counts(array of texts) -> ids per text, as encode() of the other encoders gives them. The table has the number of ids of
+    each value, not the ids, and no id of a text is held."""
+
+    def forget(self) -> None:
+        self.values, self.n_ids = pa.array([], pa.string()), np.zeros(0, np.int32)
+
+    def _keep(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.n_ids = np.concatenate([self.n_ids, counts.astype(np.int32)])
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        place, at, first = self._located(texts)
+        n = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(self.n_ids[place][at], out=n[1:])
+        return np.diff(n[first])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError("a Counter holds no ids")
 
 
 class Pool:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary
+from .bpe import Counter, encoder, vocabulary
 from .common import pieces, string_array, tidy, with_text
 
 SCHEMA = "doc_id long, piece int, start long, length int, bin_id string, position int, bin_fill int"
@@ -77,10 +77,10 @@ def token_counts(docs: DataFrame, keep: list[str], path: str | None = None) -> D
 
     @tidy
     def run(batches):
-        words = encoder(path)
+        words = encoder(path, Counter)
         for batch in batches:
-            for part in pieces(batch, text, 4 << 20):
-                n = words.encode(string_array(part.column(text)))[1] + 1
+            for part in pieces(batch, text, 2 << 20):
+                n = words.counts(string_array(part.column(text))) + 1
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(n)], [*keep, "n_tokens"])
 
     return rows.mapInArrow(run, docs.select(*keep).schema.add("n_tokens", "long"))
